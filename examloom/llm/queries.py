@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, quality, sharding, url_filters
+from . import byte_bpe, line_dedup, quality, sharding, url_filters, warc
 from .common import table
 
 
@@ -24,10 +24,18 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge_pages(table(spark, sf_dir, "pages", "page_id", "url"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op5_byte_bpe, op7_quality_rules, op10_url_filters)
+    f.__name__: f for f in (op1_sharding, op5_byte_bpe, op7_quality_rules, op8_line_dedup, op9_warc, op10_url_filters)
 }
