@@ -7,19 +7,31 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, line_dedup, quality, sharding, url_filters, warc
+from . import byte_bpe, line_dedup, quality, sharding, token_files, toxicity, url_filters, warc
 from .common import table
 
+#: The id that ends each document in token files.
+END_ID = 2
+
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), 16)
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return token_files.read_documents(token_files.write_shards(docs, public_tokenizers.path("word_bpe_49k.json"), END_ID))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     return byte_bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "labels", "doc_id", "toxic"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels", "doc_id", "quality"))
 
@@ -37,5 +49,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op5_byte_bpe, op7_quality_rules, op8_line_dedup, op9_warc, op10_url_filters)
+    f.__name__: f for f in (op1_sharding, op4_token_files, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_line_dedup, op9_warc, op10_url_filters)
 }
