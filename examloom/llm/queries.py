@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, line_dedup, quality, sharding, token_files, toxicity, url_filters, warc
+from . import byte_bpe, decontaminate, line_dedup, near_dup, quality, sharding, token_files, toxicity, url_filters, warc
 from .common import table
 
 #: The id that ends each document in token files.
@@ -18,6 +18,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents", "doc_id", "text"), 16)
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_items(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
 
@@ -53,5 +57,5 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sharding, op3_decontamination, op4_token_files, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_line_dedup, op9_warc, op10_url_filters)
+    f.__name__: f for f in (op1_sharding, op2_near_duplicates, op3_decontamination, op4_token_files, op5_byte_bpe, op6_toxicity, op7_quality_rules, op8_line_dedup, op9_warc, op10_url_filters)
 }
