@@ -1,2 +1,67 @@
-STAGES = []
-run = None
+"""The stages of the corpus pipeline; each calls one operator on all documents that its predecessor kept.
+
+Every stage takes (spark, docs, sf_dir) and, but for the last, returns the columns that ``docs`` has.  A null or empty text
+passes through or goes as the stage's operator defines it.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import byte_bpe, decontaminate, line_dedup, near_dup, quality
+from .common import fresh, shared_dir, table
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that no quality rule rejects."""
+    return quality.keep_good(docs, table(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def line_runs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated line runs, n_chars as the text now is; one that lost every line goes."""
+    n_lines, dropped = fresh(docs, "_n_lines", "_n_dropped")
+    out = line_dedup.dedup_lines(docs, counts=(n_lines, dropped))
+    out = out.filter((F.col(dropped) == 0) | F.col("text").rlike(line_dedup.WORD))
+    return out.select(*(F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates."""
+    return near_dup.keep_one(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no benchmark item occurs."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with their ids, as the tokenizer and its decoder agree on them."""
+    return byte_bpe.encode_column(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", line_runs),
+    ("near_dedup", near_duplicates),
+    ("decontamination", decontamination),
+    ("byte_bpe", byte_level_bpe),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for i, (name, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        if i + 1 == len(STAGES):
+            return out
+        out.write.parquet(f"{folder}/{i}-{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{folder}/{i}-{name}")
+    return docs
