@@ -199,7 +199,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType
     path = write_archives(pages, f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}")
-    captures = assemble(read_archives(spark, path, payload=False))
+    captures = assemble(written(read_archives(spark, path, payload=False), "warc-records"))
     flat = captures.select("record_id", F.expr("nullif(page_id, '')").cast(kind).alias("page_id"), "response.type", "response.refers_to", "response.payload_bytes", "response.payload_digest")
     flat = written(flat, "captures")
     firsts = flat.filter("type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("refers_to_page"))
