@@ -12,7 +12,8 @@ first nonterminal, bytes of an id), then arrays: doc ids, their null flags, ids
 symbols.  Shards are rows of Parquet files with their partition and number, whose order is the order of the ids.
 
 Text is cut at spaces and line ends, which no token spans; each distinct piece is encoded by the tokenizers library once for
-each worker and kept in a bounded table.
+each worker and kept in a bounded table.  A piece that is a Latin word, with or without closing marks, goes straight to the
+library's merge model in the form that its normalizer and splitter would give it; all others take the whole way.
 
 Edge cases: null and empty texts have the end id alone; texts of any length (one longer than a shard has a shard to
 itself); null doc ids come first; repeated rows are kept; an empty table gives no shard and an empty result.
@@ -23,8 +24,10 @@ from __future__ import annotations
 import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -40,34 +43,42 @@ ROUNDS, MIN_PAIRS, MIN_GAIN = 16, 8, 0.02
 TABLE_ENTRIES = 1_200_000
 TABLE_CHARS = 64
 MAGIC = b"RPS1"
+#: Marks that may close a word, and the end of the Latin letters, for the short way of encoding.
+MARKS, LATIN_END = ".,!?;:*$%&#|", "\u0250"
 
 
-def frequent_pairs(seq: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbours that occur ``least`` times or more, as left << 32 | right, most frequent first, and their counts."""
-    keys = seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:]
+def pair_keys(left: np.ndarray, right: np.ndarray, narrow: bool) -> np.ndarray:
+    """Pairs as one number each: two 16-bit halves while symbols are that few, else two 32-bit halves."""
+    if narrow:
+        return left.astype(np.uint32) << np.uint32(16) | right.astype(np.uint32)
+    return left.astype(np.uint64) << np.uint64(32) | right
+
+
+def frequent_pairs(seq: np.ndarray, least: int, narrow: bool) -> np.ndarray:
+    """Pairs of neighbours that occur ``least`` times or more, most frequent first."""
+    keys = pair_keys(seq[:-1], seq[1:], narrow)
     keys.sort()
     edges = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
     n = np.diff(edges)
     often = np.flatnonzero(n >= least)
     often = often[np.lexsort((keys[edges[often]], -n[often]))]
-    return keys[edges[often]], n[often]
+    return keys[edges[often]]
 
 
-def choose(pairs: np.ndarray) -> tuple[list[int], list[int]]:
-    """Pairs to replace together, in order of frequency: no symbol is on both sides; and those of equal symbols."""
+def choose(lefts: list[int], rights: list[int]) -> list[int]:
+    """Which of the pairs, in order of frequency, to replace together: no symbol is on both sides, twins stand alone."""
     left, right, twin = set(), set(), set()
-    take, twins = [], []
-    for key in pairs.tolist():
-        a, b = key >> 32, key & 0xFFFFFFFF
+    take = []
+    for i, (a, b) in enumerate(zip(lefts, rights, strict=True)):
         if a == b:
             if a not in left and a not in right:
                 twin.add(a)
-                twins.append(key)
+                take.append(i)
         elif a not in right and b not in left and a not in twin and b not in twin:
             left.add(a)
             right.add(b)
-            take.append(key)
-    return take, twins
+            take.append(i)
+    return take
 
 
 def re_pair(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,22 +90,25 @@ def re_pair(seq: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
         n = len(seq)
         if n < 2 * MIN_PAIRS:
             break
-        pairs, _ = frequent_pairs(seq, MIN_PAIRS)
-        take, twins = choose(pairs)
-        if not take and not twins:
+        narrow = first + made <= 1 << 16
+        pairs = frequent_pairs(seq, MIN_PAIRS, narrow)
+        half = 16 if narrow else 32
+        sides = [(pairs >> pairs.dtype.type(half)).astype(np.int64), (pairs & pairs.dtype.type((1 << half) - 1)).astype(np.int64)]
+        take = np.array(choose(*(x.tolist() for x in sides)), np.int64)
+        if not len(take):
             break
-        chosen = np.array(sorted(take + twins), np.uint64)
-        lefts, rights = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        take = take[np.argsort(pairs[take])]
+        chosen, lefts, rights = pairs[take], sides[0][take], sides[1][take]
         is_left, is_right = np.zeros(first + made, bool), np.zeros(first + made, bool)
         is_left[lefts] = True
         is_right[rights] = True
         at = np.flatnonzero(is_left[seq[:-1]] & is_right[seq[1:]])
-        keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
+        keys = pair_keys(seq[at], seq[at + 1], narrow)
         rule = np.searchsorted(chosen, keys)
         rule[rule == len(chosen)] = 0
         hit = chosen[rule] == keys
         at, rule = at[hit], rule[hit]
-        if twins:
+        if (lefts == rights).any():
             same = lefts[rule] == rights[rule]
             start = np.concatenate([[True], ~(same[1:] & same[:-1] & (at[1:] == at[:-1] + 1))])
             since = np.arange(len(at)) - np.maximum.accumulate(np.where(start, np.arange(len(at)), 0))
@@ -193,33 +207,60 @@ def pack(doc_ids: list[int | None], ids: list[np.ndarray], first: int) -> bytes:
     ])
 
 
-class Encoder:
-    """Encodes texts by a tokenizers file, distinct pieces once."""
+def _byte_letters() -> dict[int, str]:
+    """The printable letter of each byte in byte-level vocabularies: itself, or the next one from U+0100 on."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = (b for b in range(256) if b not in shown)
+    return {**{b: chr(b) for b in shown}, **{b: chr(256 + i) for i, b in enumerate(hidden)}}
+
+
+class Encoder(dict):
+    """Encodes texts by a tokenizers file; the table of ids by piece fills itself."""
 
     def __init__(self, file: str):
+        super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(file)
         self.size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list(set().union(*pieces).difference(self.known)) if pieces else []
-        if len(self.known) + len(new) > TABLE_ENTRIES:
-            self.known = {"": b""}
-            new = list(set().union(*pieces).difference(self.known))
-        known = self.known
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            for p, e in zip(part, self.lib.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u4").tobytes()
-        out = [np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4") for p in pieces]
-        for p in new:
-            if len(p) > TABLE_CHARS:
-                del known[p]
-        return out
+        self.model, self.letters = self.lib.model, _byte_letters()
+        self.closing: dict[str, bytes] = {}
+        # the short way is taken only where it agrees with the whole way on words of every Latin letter
+        probe = [chr(c) * 2 for c in range(65, ord(LATIN_END)) if chr(c).isalpha() and chr(c).lower().isalpha()]
+        self.plain = all(
+            [t.id for t in self.model.tokenize(p.lower().encode().decode("latin-1").translate(self.letters))] == self.lib.encode(p, add_special_tokens=False).ids
+            for p in probe if max(p.lower()) < LATIN_END and is_normalized("NFC", p)
+        ) and all(self.lib.encode("ab" + m, add_special_tokens=False).ids == [*self.lib.encode("ab", add_special_tokens=False).ids, *self.lib.encode(m, add_special_tokens=False).ids] for m in MARKS)
+
+    def marks(self, text: str) -> bytes:
+        got = self.closing.get(text)
+        if got is None:
+            got = array("I", self.lib.encode(text, add_special_tokens=False).ids).tobytes()
+            if len(self.closing) < 10_000:
+                self.closing[text] = got
+        return got
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(MARKS)
+        low = word.lower()
+        if self.plain and low.isalpha() and (low.isascii() or max(low) < LATIN_END and is_normalized("NFC", word)):
+            shown = low if low.isascii() else low.encode().decode("latin-1").translate(self.letters)
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+            if len(word) < len(piece):
+                got += self.marks(piece[len(word) :])
+        else:
+            got = array("I", self.lib.encode(piece, add_special_tokens=False).ids).tobytes()
+        if len(piece) <= TABLE_CHARS:
+            if len(self) >= TABLE_ENTRIES:
+                self.clear()
+            self[piece] = got
+        return got
+
+    def encode(self, text: str | None) -> np.ndarray:
+        if not text:
+            return np.empty(0, "<u4")
+        return np.frombuffer(b"".join(map(self.__getitem__, text.replace("\n", " ").split(" "))), "<u4")
 
 
 @lru_cache(maxsize=2)
@@ -248,7 +289,7 @@ def write_shards(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([no], pa.int32()), pa.array([size], pa.int64()), pa.array([pack(doc_ids, held, first)], pa.binary())], ["part", "no", "n_ids", "shard"])
 
         for b in batches:
-            for d, ids in zip(b.column(0).to_pylist(), enc.encode(b.column(1).to_pylist()), strict=True):
+            for d, ids in zip(b.column(0).to_pylist(), map(enc.encode, b.column(1).to_pylist()), strict=True):
                 if held and size + len(ids) >= SHARD_TOKENS:
                     yield shard()
                     no, doc_ids, held, size = no + 1, [], [], 0
