@@ -147,10 +147,10 @@ def utf16_length(text: Column) -> Column:
 def script_of(char: Column) -> Column:
     """Script of a character by code point: hangul, hanja, japanese, latin or symbol."""
     return (
-        F.when(char.rlike("^[\\uAC00-\\uD7A3\\u1100-\\u11FF\\u3130-\\u318F]"), "hangul")
-        .when(char.rlike("^[\\u4E00-\\u9FFF\\u3400-\\u4DBF\\uF900-\\uFAFF]"), "hanja")
-        .when(char.rlike("^[\\u3040-\\u30FF]"), "japanese")
-        .when(char.rlike("^[\\u0000-\\u024F]"), "latin")
+        F.when(char.rlike("^[\\uAC00-\\uD7AF\\u1100-\\u11FF\\u3130-\\u318F]"), "hangul")
+        .when(char.rlike("^[\\u4E00-\\u9FFF\\u3400-\\u4DBF\\x{20000}-\\x{2A6DF}]"), "hanja")
+        .when(char.rlike("^[\\u3040-\\u30FF\\u31F0-\\u31FF]"), "japanese")
+        .when(char.rlike("^[\\u0020-\\u024F]"), "latin")
         .otherwise("symbol")
     )
 

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-DOC = Window.partitionBy("doc_id").orderBy("para_idx")
-UP_TO = DOC.rowsBetween(Window.unboundedPreceding, 0)
+
+def up_to():
+    """A document's paragraphs up to each one."""
+    return Window.partitionBy("doc_id").orderBy("para_idx").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def memo_flag(df: DataFrame) -> Column:
@@ -47,7 +49,7 @@ def with_memo(paragraphs: DataFrame) -> DataFrame:
 
 def detect_questions(paragraphs: DataFrame) -> DataFrame:
     """Rows (doc_id, unit_no, label, para_idx, role) of question units.  Reads is_memo and has_visual besides."""
-    df = _kinds(paragraphs, False).withColumn("unit", F.sum(F.when(F.col("kind") == "balmun", 1).otherwise(0)).over(UP_TO)).filter("unit > 0")
+    df = _kinds(paragraphs, False).withColumn("unit", F.sum(F.when(F.col("kind") == "balmun", 1).otherwise(0)).over(up_to())).filter("unit > 0")
     unit = Window.partitionBy("doc_id", "unit").orderBy("para_idx")
     ends = (F.col("kind") == "seonji") | ((F.col("kind") == "other") & F.col("shown").contains(T.FOUR_POINTS))
     before = F.coalesce(F.max(ends.cast("int")).over(unit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -64,7 +66,7 @@ def detect_korean_sets(paragraphs: DataFrame) -> DataFrame:
     """Rows (doc_id, unit_no, label, para_idx, role) of passage sets, each from a set header to the next."""
     df = _kinds(paragraphs, True)
     header = T.is_set_header(F.col("shown")) & ~F.col("is_memo")
-    df = df.withColumn("header", header).withColumn("unit", F.sum(F.when(F.col("header"), 1).otherwise(0)).over(UP_TO)).filter("unit > 0 and not is_memo")
+    df = df.withColumn("header", header).withColumn("unit", F.sum(F.when(F.col("header"), 1).otherwise(0)).over(up_to())).filter("unit > 0 and not is_memo")
     whole = Window.partitionBy("doc_id", "unit")
     label = F.max(F.when(F.col("header"), F.format_string("S%02d-%02d", T.set_from(F.col("shown")), T.set_to(F.col("shown"))))).over(whole)
     role = F.when(F.col("header"), "set_header").when(F.col("kind").isin("balmun", "seonji"), F.col("kind")).otherwise("jimun")

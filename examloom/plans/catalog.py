@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import equation, latex
 from ..functions import text as T
 from ..operators import layout, lookup, ordered, segment, tables
+from . import packed, questions
 from .fixtures import fixture, with_fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -502,3 +504,59 @@ def scalar_functions(spark, sf_dir):
         "p_partkey", T.bin_name(c("p_partkey"), F.lit("png")).alias("name"), T.xml_escape(F.concat("p_name", F.lit("<&>\"'"))).alias("escaped"), T.mm_to_units(c("p_size")).alias("units"), T.rescaled_equation_width(c("p_partkey")).alias("rescaled"),
         layout.advance(F.lit(0.5), F.lit(95), F.lit(-5), F.lit(1150), c("p_size") + 50).alias("advance"),
     )
+
+
+@query("SELECT doc_id, section_idx, para_idx, text, CAST(has_visual AS INT) AS n_shapes, has_section_def FROM paragraphs", "paragraphs")
+def hwpx_source(spark, sf_dir):
+    p = packed.parsed(spark, sf_dir).select(F.col("path").cast("long").alias("doc_id"), F.inline("paragraphs"))
+    return p.select("doc_id", "section_idx", "para_idx", "text", "n_shapes", "has_section_def")
+
+
+@query(MARKED + TEXTS + f""", subj AS (SELECT doc_id, {SUBJECT} AS subject FROM (SELECT doc_id, t, regexp_replace(t, '[{WS}]', '', 'g') AS c FROM texts)),
+both_units AS (SELECT passage_sets.* FROM passage_sets JOIN subj USING (doc_id) WHERE subject = 'korean' UNION ALL SELECT questions.* FROM questions JOIN subj USING (doc_id) WHERE subject <> 'korean'), named AS ({RELABEL.format('both_units')})
+SELECT doc_id, unit_no, label, subject, string_agg(s, '' ORDER BY para_idx) AS text FROM named JOIN subj USING (doc_id) JOIN (SELECT doc_id, para_idx, s FROM marked WHERE section_idx = 0) USING (doc_id, para_idx) GROUP BY doc_id, unit_no, label, subject""", "paragraphs")
+def question_rows(spark, sf_dir):
+    papers = questions.stored(packed.parsed(spark, sf_dir))
+    names = papers.select("doc_id", F.col("path").cast("long").alias("paper"))
+    return questions.questions(papers).join(names, "doc_id").select(F.col("paper").alias("doc_id"), "unit_no", "label", "subject", "text")
+
+
+@query()
+def question_json(spark, sf_dir):
+    return questions.as_json(questions.questions(questions.stored(packed.parsed(spark, sf_dir))))
+
+
+@query()
+def equation_latex(spark, sf_dir):
+    return latex.convert(fixture(spark, sf_dir, "controls").filter("kind = 'equation'").select("doc_id", "node_id", "script"), "script")
+
+
+@query()
+def equation_trees(spark, sf_dir):
+    return fixture(spark, sf_dir, "controls").filter("kind = 'equation'").select("doc_id", "node_id", equation.tree(F.col("script")).alias("tree"))
+
+
+@query("""SELECT doc_id, string_agg(CASE WHEN kind = 'equation' THEN chr(2) || script || chr(3) ELSE kind END, '' ORDER BY node_id) AS text FROM controls GROUP BY doc_id""", "controls")
+def text_eq_marked(spark, sf_dir):
+    c = fixture(spark, sf_dir, "controls")
+    piece = F.when(F.col("kind") == "equation", F.concat(F.lit("\u0002"), "script", F.lit("\u0003"))).otherwise(F.col("kind"))
+    return c.groupBy("doc_id").agg(segment.ordered_text(F.col("node_id"), piece).alias("text"))
+
+
+@query("SELECT table_id, cell_idx, coalesce('brand' || b.p_size, 'none') AS style FROM cells LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey BETWEEN 1 AND 15) b ON border_fill_id = p_partkey", "cells")
+def border_styles(spark, sf_dir):
+    cells = fixture(spark, sf_dir, "cells")
+    borders = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey between 1 and 15").select(F.col("p_partkey").cast("int").alias("id"), F.concat(F.lit("brand"), F.col("p_size").cast("string")).alias("style"))
+    return lookup.resolve_borders(cells, borders)
+
+
+@query("SELECT page_id AS doc_id, page_id % 120 AS page, 'paper' || page_id || '_' || CASE WHEN page_id % 2 = 0 THEN 'p' ELSE 'q' END || printf('%02d', page_id % 120) || '.svg' AS name FROM pages")
+def preview_names(spark, sf_dir):
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return layout.preview_names(p.select(F.col("page_id").alias("doc_id"), (F.col("page_id") % 120).alias("page"), F.concat(F.lit("paper"), F.col("page_id").cast("string")).alias("stem"), F.when(F.col("page_id") % 2 == 0, "page").otherwise("question").alias("kind"), F.lit("svg").alias("ext")))
+
+
+@query()
+def page_svgs(spark, sf_dir):
+    p = _view(spark, sf_dir, "SELECT l_orderkey AS doc_id, l_suppkey % 3 AS page, l_linenumber AS seq, CASE l_partkey % 3 WHEN 0 THEN 'rect' WHEN 1 THEN 'line' ELSE 'text' END AS kind, l_partkey AS x, l_suppkey AS y, l_linenumber * 100 AS w, 50 AS h, l_returnflag AS text FROM lineitem", "lineitem")
+    return layout.page_svg(p)
