@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 #: How far, in units, a thing may lie outside a question's band and still belong to it.
 CROP_SLACK = 700
 
 
+def reading_order() -> WindowSpec:
+    """A document's lines as they are read: section, paragraph, place in it."""
+    return Window.partitionBy("doc_id").orderBy("section_idx", "node_id", "text_start", "vertical_pos")
+
+
 def measure(line_segs: DataFrame) -> DataFrame:
     """(para_id, lines, height, top): a line advances by its text height and the spacing after it."""
     return line_segs.groupBy("para_id").agg(F.count("*").alias("lines"), F.sum(F.col("text_height") + F.col("line_spacing")).alias("height"), F.min("vertical_pos").alias("top"))
@@ -122,3 +127,34 @@ def page_svg(ops: DataFrame) -> DataFrame:
     body = F.when(F.col("kind") == "rect", rect).when(F.col("kind") == "line", line).otherwise(text)
     parts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", body.alias("s")))), lambda p: p["s"]), "")
     return ops.groupBy("doc_id", "page").agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">'), parts, F.lit("</svg>")).alias("svg"))
+
+
+def line_fill(lines: DataFrame) -> DataFrame:
+    """(line_id, lead, gap): where a line starts and what each blank gains, by alignment (left, right, center, justify, distribute).
+
+    Reads width (of the segment), used (sum of advances), blanks, cells and is_last; a justified last line stays left.
+    """
+    slack = F.greatest(F.col("width") - F.col("used"), F.lit(0.0))
+    lead = F.when(F.col("align") == "right", slack).when(F.col("align") == "center", slack / 2).otherwise(0.0)
+    justify = (F.col("align") == "justify") & ~F.col("is_last") & (F.col("blanks") > 0)
+    spread = (F.col("align") == "distribute") & (F.col("cells") > 1)
+    return lines.select("line_id", lead.alias("lead"), F.when(justify, slack / F.col("blanks")).when(spread, slack / (F.col("cells") - 1)).otherwise(0.0).alias("gap"))
+
+
+def bounding_boxes(ops: DataFrame, *key: str) -> DataFrame:
+    """Box around the painted things (x, y, w, h) of each key."""
+    return ops.groupBy(*key).agg(F.min("x").alias("x"), F.min("y").alias("y"), (F.max(F.col("x") + F.col("w")) - F.min("x")).alias("w"), (F.max(F.col("y") + F.col("h")) - F.min("y")).alias("h"))
+
+
+def column_of(things: DataFrame, columns: DataFrame) -> DataFrame:
+    """(op_id, column): the column (section_id, column, x, width) that holds a thing's x, else the one with the nearest centre."""
+    both = things.select("op_id", "section_id", F.col("x").alias("at")).join(columns, "section_id")
+    inside = (F.col("at") >= F.col("x")) & (F.col("at") < F.col("x") + F.col("width"))
+    order = F.struct((~inside).alias("out"), F.when(inside, F.lit(0.0)).otherwise(F.abs(F.col("at") - F.col("x") - F.col("width") / 2)).alias("far"), F.col("column").alias("column"))
+    return both.groupBy("op_id").agg(F.min(order)["column"].alias("column"))
+
+
+def stack(fragments: DataFrame) -> DataFrame:
+    """(unit_no, seq, y): fragments of a unit one below the other, with the room of those before."""
+    order = Window.partitionBy("unit_no").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    return fragments.select("unit_no", "seq", F.coalesce(F.sum("h").over(order), F.lit(0)).alias("y"))
