@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import equation, latex
 from ..functions import text as T
-from ..operators import layout, lookup, ordered, segment, tables
+from ..operators import compose, layout, lookup, ordered, segment, tables
 from . import packed, questions
 from .fixtures import fixture, with_fixtures
 
@@ -560,3 +560,80 @@ def preview_names(spark, sf_dir):
 def page_svgs(spark, sf_dir):
     p = _view(spark, sf_dir, "SELECT l_orderkey AS doc_id, l_suppkey % 3 AS page, l_linenumber AS seq, CASE l_partkey % 3 WHEN 0 THEN 'rect' WHEN 1 THEN 'line' ELSE 'text' END AS kind, l_partkey AS x, l_suppkey AS y, l_linenumber * 100 AS w, 50 AS h, l_returnflag AS text FROM lineitem", "lineitem")
     return layout.page_svg(p)
+
+
+@query("SELECT doc_id, node_id, memo_id FROM (SELECT event_id % 50 AS doc_id, event_id AS node_id, event_id // 7 % 9 AS number, row_number() OVER (PARTITION BY event_id % 50, event_id // 7 % 9 ORDER BY event_id) AS turn FROM events WHERE event_id % 3 = 1) f LEFT JOIN (SELECT o_custkey % 50 AS doc_id, o_orderkey AS memo_id, o_orderkey % 11 AS number, row_number() OVER (PARTITION BY o_custkey % 50, o_orderkey % 11 ORDER BY o_orderkey) AS turn FROM orders) m USING (doc_id, number, turn)")
+def memo_bodies(spark, sf_dir):
+    f = _view(spark, sf_dir, "SELECT event_id % 50 AS doc_id, event_id AS node_id, CASE event_id % 3 WHEN 1 THEN 'Memo' ELSE 'ClickHere' END AS kind, 'MEMO/x/' || CAST(CAST(floor(event_id / 7) AS BIGINT) % 9 AS STRING) AS command FROM events", "events")
+    return compose.attach_memos(f, _view(spark, sf_dir, "SELECT o_custkey % 50 AS doc_id, o_orderkey AS memo_id, o_orderkey % 11 AS number FROM orders", "orders"))
+
+
+@query("SELECT doc_id, node_id, kind, 8 * coalesce(sum(CAST(gone AS INT)) OVER (PARTITION BY doc_id, parent_node_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS shift FROM (SELECT doc_id, node_id, node_id // 6 AS parent_node_id, CASE kind WHEN 'shape' THEN 'header' WHEN 'new_number' THEN 'page_hide' ELSE kind END AS kind, kind IN ('shape', 'new_number') AS gone FROM controls) QUALIFY NOT gone", "controls")
+def page_controls(spark, sf_dir):
+    c = fixture(spark, sf_dir, "controls").selectExpr("doc_id", "node_id", "cast(floor(node_id / 6) as bigint) as parent_node_id", "case kind when 'shape' then 'header' when 'new_number' then 'page_hide' else kind end as kind")
+    return compose.strip_page_controls(c).select("doc_id", "node_id", "kind", "shift")
+
+
+@query("WITH c AS (SELECT s_nationkey AS doc_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS id, s_suppkey % 3 = 0 AS d FROM supplier), b AS (SELECT doc_id, CASE WHEN bool_or(id = 0 AND d) THEN 0 ELSE 1 END AS k FROM c GROUP BY doc_id) SELECT doc_id, id AS old_id, id + k AS new_id FROM c JOIN b USING (doc_id) UNION ALL SELECT doc_id, NULL, 0 FROM b WHERE k = 1")
+def default_numbering(spark, sf_dir):
+    c = _view(spark, sf_dir, "SELECT s_nationkey AS doc_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS id, s_suppkey % 3 = 0 AS d FROM supplier", "supplier")
+    return compose.with_default_entry(c, F.col("d"))
+
+
+@query("SELECT o_custkey AS doc_id, o_orderkey AS item, CASE WHEN o_orderkey % 9 >= 4 THEN o_orderkey % 9 - 3 END AS target, o_orderkey % 9 = 3 AS is_last FROM orders")
+def master_targets(spark, sf_dir):
+    return compose.master_targets(_view(spark, sf_dir, "SELECT o_custkey AS doc_id, o_orderkey AS item, o_orderkey % 9 AS ext_flags FROM orders", "orders"))
+
+
+@query("SELECT doc_id, node_id, treat_as_char OR (z_order % 2 = 0 AND text_wrap NOT IN ('BehindText', 'InFrontOfText')) AS in_flow, treat_as_char OR text_wrap IN ('Square', 'Tight', 'Through') AS embedded FROM controls", "controls")
+def object_flags(spark, sf_dir):
+    c = fixture(spark, sf_dir, "controls")
+    rel = F.when(F.col("z_order") % 2 == 0, "PARA").otherwise("PAPER")
+    return c.select("doc_id", "node_id", compose.in_flow(F.col("treat_as_char"), rel, F.col("text_wrap")).alias("in_flow"), tables.is_embedded(F.col("treat_as_char"), F.col("text_wrap")).alias("embedded"))
+
+
+@query("SELECT p_partkey, p_size * 2 + 3 * 1 AS a, p_size * 5 + 3 * 7 + p_partkey AS tx, 4 * 2 + p_size * 1 AS c, 4 * 5 + p_size * 7 + 9 AS ty FROM part")
+def affine_products(spark, sf_dir):
+    p = _view(spark, sf_dir, "SELECT p_partkey, array(p_size, 3, p_partkey, 4, p_size, 9) AS a, array(2, 0, 5, 1, 6, 7) AS b FROM part", "part")
+    m = compose.multiply(F.col("a"), F.col("b"))
+    return p.select("p_partkey", m[0].alias("a"), m[2].alias("tx"), m[3].alias("c"), m[5].alias("ty"))
+
+
+@query("SELECT para_id AS cell_id, CASE WHEN max(vertical_pos + line_height) = 0 THEN 0 ELSE max(vertical_pos + line_height) + para_id % 300 END AS height FROM line_segs GROUP BY para_id", "line_segs")
+def cell_heights(spark, sf_dir):
+    return compose.content_heights(fixture(spark, sf_dir, "line_segs").select(F.col("para_id").alias("cell_id"), "vertical_pos", "line_height", (F.col("para_id") % 300).alias("padding")))
+
+
+@query("SELECT l_orderkey AS para_id, CAST(coalesce(max(CASE WHEN v <= 0 THEN greatest(v + h, 0) END), 0) AS BIGINT) AS leading, CAST(coalesce(max(CASE WHEN v > 0 THEN v + h END), 0) AS BIGINT) AS trailing FROM (SELECT l_orderkey, l_partkey % 100 - 50 AS v, l_suppkey AS h FROM lineitem) GROUP BY l_orderkey")
+def object_bands(spark, sf_dir):
+    return compose.object_bands(_view(spark, sf_dir, "SELECT l_orderkey AS para_id, l_partkey % 100 - 50 AS v_off, l_suppkey AS height FROM lineitem", "lineitem"))
+
+
+@query("SELECT user_id AS doc_id, '[' || string_agg('{\"kind\":\"' || event_type || '\",\"section\":' || event_id % 3 || ',\"para\":' || event_id % 7 || ',\"value\":\"v' || event_id || '\"}', ',' ORDER BY event_id) || ']' AS json FROM events GROUP BY user_id")
+def edit_events_json(spark, sf_dir):
+    e = _view(spark, sf_dir, "SELECT user_id AS doc_id, event_id AS seq, event_type AS kind, event_id % 3 AS section, event_id % 7 AS para, 'v' || CAST(event_id AS STRING) AS value FROM events", "events")
+    return compose.events_json(e)
+
+
+@query()
+def pages_json(spark, sf_dir):
+    return compose.pages_json(paginate_greedy(spark, sf_dir))
+
+
+@query(f""", seq AS (SELECT doc_id, CAST(floor(para_idx / 12) AS BIGINT) AS unit_no, para_idx, CASE para_idx % 5 WHEN 0 THEN 'set_header' WHEN 1 THEN 'empty' WHEN 2 THEN 'unknown' WHEN 3 THEN 'jimun' ELSE 'empty' END AS atom, doc_id % 2 = 0 AS k FROM paragraphs WHERE section_idx = 0),
+kept AS (SELECT *, lag(atom) OVER (PARTITION BY doc_id, unit_no ORDER BY para_idx) AS p FROM seq)
+SELECT doc_id, unit_no, para_idx, atom, row_number() OVER (PARTITION BY doc_id, unit_no ORDER BY para_idx) - 1 AS seq FROM kept WHERE atom NOT IN ('empty', 'unknown') OR (k AND atom = 'empty' AND p = 'set_header')""", "paragraphs")
+def composed_members(spark, sf_dir):
+    p = fixture(spark, sf_dir, "paragraphs").filter("section_idx = 0").selectExpr("doc_id", "cast(floor(para_idx / 12) as bigint) as unit_no", "para_idx", "case para_idx % 5 when 0 then 'set_header' when 1 then 'empty' when 2 then 'unknown' when 3 then 'jimun' else 'empty' end as atom", "case when doc_id % 2 = 0 then 'korean' else 'math' end as subject")
+    return compose.composed(p).select("doc_id", "unit_no", "para_idx", "atom", "seq")
+
+
+@query(rf"SELECT doc_id, section_idx, para_idx, CASE WHEN {is_set('text')} THEN regexp_extract(text, '(?s)(\[[{WS}]*[0-9]+[{WS}]*[{T.TILDES}][{WS}]*[0-9]+[{WS}]*\].*)$', 1) ELSE text END AS text FROM paragraphs", "paragraphs")
+def clean_set_headers(spark, sf_dir):
+    return compose.clean_set_headers(fixture(spark, sf_dir, "paragraphs").select("doc_id", "section_idx", "para_idx", "text"))
+
+
+@query("SELECT l_orderkey AS line_id, greatest(CAST(l_quantity * 20 - l_partkey % 900 AS DOUBLE), 0) AS room FROM lineitem WHERE l_linenumber = 1")
+def line_room(spark, sf_dir):
+    p = _view(spark, sf_dir, "SELECT l_orderkey AS line_id, 'right' AS align, CAST(l_quantity * 20 AS DOUBLE) AS width, CAST(l_partkey % 900 AS DOUBLE) AS used, 3 AS blanks, 9 AS cells, FALSE AS is_last FROM lineitem WHERE l_linenumber = 1", "lineitem")
+    return layout.line_fill(p).select("line_id", F.col("lead").alias("room"))
