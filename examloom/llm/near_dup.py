@@ -4,9 +4,9 @@ A text's K-word mers are labelled by occurrence (first, second, ...).  Each of S
 smallest labelled mers, and their hashes in the order of the text are a bucket: texts meet where they share mers
 in the same order, which follows edit similarity.  In a bucket every text is compared with leaders, not with all others:
 min over a seeded order, several orders over the buckets, so no bucket emits its pairs.  A comparison is a banded alignment over
-words: linked are texts with at least SIMILARITY of one less edits over the longer length.  Buckets whose texts do not yet form one
-class elect new leaders until a round finds no link.  Classes are the connected components (alternating large-star and
-small-star steps, each a written table); equal texts are one node throughout.
+words: linked are texts with at least SIMILARITY of one less edits over the longer length; pairs that a tally of their words rules out are not aligned.  Buckets whose texts do not
+yet form one class elect new leaders until a round finds no link.  Classes are the connected components, found by contraction, each
+step a written table; equal texts are one node throughout.
 
 Nothing is collected: links, labels and sketches stay in tables.  Hot buckets and classes are met by partial aggregation
 and joins whose skewed side Spark may split.
@@ -37,6 +37,8 @@ ORDERS = 3
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(SKETCHES)], np.uint64)
 _WORDS_KNOWN = 1_000_000
+#: Classes of words in a tally: words that one text has too many of need an edit each, so tallies rule pairs out before words are fetched.
+TALLY = 256
 
 
 def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -180,6 +182,11 @@ def _by_rows(a: np.ndarray, b: np.ndarray, band: int) -> int:
     return min(int(row[at]), band + 1) if 0 <= at < width else band + 1
 
 
+def tally(codes: np.ndarray) -> bytes:
+    """How many words fall in each of TALLY classes, 255 at most."""
+    return np.minimum(np.bincount(codes & np.uint32(TALLY - 1), minlength=TALLY), 255).astype(np.uint8).tobytes()
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
     longest = max(len(a), len(b))
     most = int(longest * (1 - SIMILARITY) + 1e-9)
@@ -187,13 +194,13 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def sketched(rows: DataFrame, row: str, text: str) -> DataFrame:
-    """(row, key, n, buckets, words) of every text with a word; key tells equal texts, words are their codes."""
+    """(row, key, n, buckets, tally, words) of every text with a word; key tells equal texts, words are their codes."""
     bound_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
         for b in batches:
-            ids, keys, ns, buckets, words = [], [], [], [], []
+            ids, keys, ns, buckets, tallies, words = [], [], [], [], [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 data = (t or "").encode()
                 parts = data.split()
@@ -204,16 +211,38 @@ def sketched(rows: DataFrame, row: str, text: str) -> DataFrame:
                 keys.append(hashlib.md5(data).digest())
                 ns.append(len(parts))
                 buckets.append(sketch(codes))
+                tallies.append(tally(codes))
                 words.append(codes.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(buckets, pa.list_(pa.int64())), pa.array(words, pa.binary())], ["row", "key", "n", "buckets", "words"]
+                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(buckets, pa.list_(pa.int64())), pa.array(tallies, pa.binary()), pa.array(words, pa.binary())], ["row", "key", "n", "buckets", "tally", "words"]
             )
 
-    return rows.select(F.col(row).alias("row"), text).mapInArrow(run, "row long, key binary, n int, buckets array<long>, words binary")
+    return rows.select(F.col(row).alias("row"), text).mapInArrow(run, "row long, key binary, n int, buckets array<long>, tally binary, words binary")
+
+
+def plausible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose tallies leave a link possible; tallies: node, n, tally."""
+    side = {x: tallies.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("tally").alias(f"tally_{x}")) for x in "ab"}
+    both = pairs.join(side["b"], "b").join(side["a"], "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, TALLY).astype(np.int16) for i in (4, 5))
+            d = x - y
+            least = np.maximum(np.where(d > 0, d, 0).sum(axis=1), np.where(d < 0, -d, 0).sum(axis=1))
+            longest = np.maximum(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            keep = least <= np.floor(longest * (1 - SIMILARITY) + 1e-9)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(run, "a long, b long")
 
 
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words are similar; words: node, words."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    words = written(words.join(named, "node", "left_semi"), "pair-words")
     both = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,21 +254,26 @@ def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``links`` (a, b): root is the least node of its component."""
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "edges")
-    before = None
+    """(node, root) of every node of ``links`` (a, b): root is the least node of its component.
+
+    By contraction: every node takes the least of itself and its neighbours, twice over; links between what is left of a
+    component are kept and the step repeats on them, so later steps see ever fewer rows.
+    """
+    edges, roots = links.filter("a <> b").select("a", "b"), None
     while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum("v").alias("s")).first()
-        if state["n"] == 0 or state == before:
-            break
-        before = state
-        ways = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = ways.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = written(ways.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = written(small.distinct(), "edges")
-    return written(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct(), "components")
+        ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = written(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "least")
+        twice = least.join(least.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.col("further").alias("root"))
+        twice = written(twice, "least")
+        if roots is None:
+            roots = twice
+        else:
+            roots = written(roots.join(twice.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
+        a, b = twice.select(F.col("node").alias("a"), F.col("root").alias("x")), twice.select(F.col("node").alias("b"), F.col("root").alias("y"))
+        rest = edges.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        edges = written(rest, "edges")
+        if edges.isEmpty():
+            return roots
 
 
 def leader_pairs(members: DataFrame, order) -> DataFrame:
@@ -255,32 +289,41 @@ def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     """(row, key, root) of every text with a word: equal root means one class."""
     sketches = written(sketched(rows, row, text), "sketches")
     nodes = written(sketches.groupBy("key").agg(F.min("row").alias("node")), "nodes")
-    unique = sketches.join(nodes.select(F.col("node").alias("row")), "row", "left_semi")
-    words = unique.select(F.col("row").alias("node"), "words")
-    members = unique.select(F.col("row").alias("node"), "n", F.posexplode("buckets").alias("band", "bucket"))
-    shared = members.groupBy("bucket").count().filter("count > 1").select("bucket")
-    members = written(members.join(shared, "bucket").withColumn("order", F.col("band") % ORDERS), "buckets")
-
-    # every order elects its own leaders over the buckets of its bands
-    seen = written(leader_pairs(members, F.col("order")), "pairs")
-    links = written(compared(seen, words), "links")
-    roots = components(links)
-    turn = ORDERS
+    first = nodes.select("node")
+    words, tallies = (sketches.select(F.col("row").alias("node"), *c) for c in (["words"], ["n", "tally"]))
+    members = sketches.select(F.col("row").alias("node"), "n", "buckets").join(first, "node", "left_semi").select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
+    shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
+    members = written(members.join(shared, "bucket").select("bucket", "node", "n", (F.col("band") % ORDERS).alias("order")), "buckets")
+
+    # every order elects its own leaders over the buckets of its bands; later turns over what is not yet one class
+    turn, roots, seen = 0, None, None
     while True:
-        labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-        left = labelled.join(mixed, "bucket")
-        pairs = leader_pairs(left.select("bucket", "node", "n"), F.lit(turn)).join(seen, ["a", "b"], "left_anti")
-        label = left.select("node", "root").distinct()
-        pairs = pairs.join(label.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a").join(label.select(F.col("node").alias("b"), F.col("root").alias("root_b")), "b")
-        pairs = written(pairs.filter("root_a <> root_b").select("a", "b"), "pairs")
-        found = written(compared(pairs, words), "links")
+        pairs = leader_pairs(members, F.col("order") if not turn else F.lit(ORDERS + turn))
+        if turn:
+            pairs = pairs.join(seen, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        likely = written(plausible(pairs, tallies), "likely")
+        found = written(compared(likely, words), "links")
         if found.isEmpty():
             break
-        links, seen, turn = links.unionByName(found), seen.unionByName(pairs), turn + 1
-        roots = components(links)
-    named = nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("root"))
-    return sketches.select("row", "key").join(named, "key")
+        if roots is None:
+            roots = components(found)
+        else:
+            at = {x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"}
+            links = found.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+            links = written(links.filter("a <> b").distinct(), "links")
+            if links.isEmpty():
+                break
+            more = components(links)
+            known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+            roots = written(known.unionByName(more.join(roots, "node", "left_anti").select("node", "root")), "roots")
+        labelled = members.join(roots, "node", "left").select("bucket", "node", "n", "order", F.coalesce("root", "node").alias("root"))
+        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+        members = written(labelled.join(mixed, "bucket").drop("root"), "buckets")
+        turn += 1
+    named = nodes.select("key", "node") if roots is None else nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("node"))
+    return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
