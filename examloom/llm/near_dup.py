@@ -39,6 +39,8 @@ _SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).dig
 _WORDS_KNOWN = 1_000_000
 #: Classes of words in a tally: words that one text has too many of need an edit each, so tallies rule pairs out before words are fetched.
 TALLY = 256
+#: Bits of the bitmap that tells which texts share a bucket: 8 MB in every task.
+FILTER_BITS = 26
 
 
 def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -187,10 +189,28 @@ def tally(codes: np.ndarray) -> bytes:
     return np.minimum(np.bincount(codes & np.uint32(TALLY - 1), minlength=TALLY), 255).astype(np.uint8).tobytes()
 
 
+def at_most(a: np.ndarray, b: np.ndarray) -> int:
+    """Edits of an alignment by the words that each text has once: a bound from above."""
+    words, at, n = np.unique(a, return_index=True, return_counts=True)
+    once, where = words[n == 1], at[n == 1]
+    other, at, n = np.unique(b, return_index=True, return_counts=True)
+    other, place = other[n == 1], at[n == 1]
+    _, i, j = np.intersect1d(once, other, assume_unique=True, return_indices=True)
+    x, y = where[i], place[j]
+    order = np.argsort(x)
+    x, y = x[order], y[order]
+    ahead = y > np.concatenate([[-1], np.maximum.accumulate(y)[:-1]])  # anchors that run in the same order in both
+    x, y = np.concatenate([[-1], x[ahead], [len(a)]]), np.concatenate([[-1], y[ahead], [len(b)]])
+    return int(np.maximum(np.diff(x) - 1, np.diff(y) - 1).sum())
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether so few edits suffice: an alignment word for word or by anchors may show it, else the banded one decides."""
     longest = max(len(a), len(b))
     most = int(longest * (1 - SIMILARITY) + 1e-9)
-    return edits(a, b, most) <= most
+    if len(a) == len(b) and int(np.count_nonzero(a != b)) <= most:
+        return True
+    return at_most(a, b) <= most or edits(a, b, most) <= most
 
 
 def sketched(rows: DataFrame, row: str, text: str) -> DataFrame:
@@ -239,10 +259,24 @@ def plausible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(run, "a long, b long")
 
 
+def among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``rows`` whose node is one of ``nodes``, written.
+
+    A bitmap of hashed nodes goes to every task first (FILTER_BITS bits, whatever the input), so most rows that do not belong
+    never cross the network; the join that follows is exact.
+    """
+    place = (F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)) + 1).cast("long")
+    nodes = nodes.select("node").distinct()
+    bits = nodes.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    has = F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1
+    likely = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket").filter(has).drop("_bucket", "_bits")
+    return written(likely.join(nodes, "node", "left_semi"), "among")
+
+
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words are similar; words: node, words."""
-    named = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    words = written(words.join(named, "node", "left_semi"), "pair-words")
     both = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,10 +324,11 @@ def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     sketches = written(sketched(rows, row, text), "sketches")
     nodes = written(sketches.groupBy("key").agg(F.min("row").alias("node")), "nodes")
     first = nodes.select("node")
-    words, tallies = (sketches.select(F.col("row").alias("node"), *c) for c in (["words"], ["n", "tally"]))
     members = sketches.select(F.col("row").alias("node"), "n", "buckets").join(first, "node", "left_semi").select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
     members = written(members.join(shared, "bucket").select("bucket", "node", "n", (F.col("band") % ORDERS).alias("order")), "buckets")
+    known = among(sketches.select(F.col("row").alias("node"), "n", "tally", "words"), members)
+    words, tallies = known.select("node", "words"), known.select("node", "n", "tally")
 
     # every order elects its own leaders over the buckets of its bands; later turns over what is not yet one class
     turn, roots, seen = 0, None, None
@@ -316,8 +351,8 @@ def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
             if links.isEmpty():
                 break
             more = components(links)
-            known = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-            roots = written(known.unionByName(more.join(roots, "node", "left_anti").select("node", "root")), "roots")
+            further = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+            roots = written(further.unionByName(more.join(roots, "node", "left_anti").select("node", "root")), "roots")
         labelled = members.join(roots, "node", "left").select("bucket", "node", "n", "order", F.coalesce("root", "node").alias("root"))
         mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
         members = written(labelled.join(mixed, "bucket").drop("root"), "buckets")

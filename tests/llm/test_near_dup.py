@@ -41,6 +41,16 @@ def test_edits_equal_the_plain_programme():
             assert got == min(want, most + 1), (a, b, most, want)
 
 
+def test_anchors_bound_from_above():
+    rng = random.Random(9)
+    for _ in range(200):
+        a = [rng.randrange(200) for _ in range(rng.randint(1, 90))]
+        b = [int(str(x).replace("new", "9")) for x in changed(rng, a, rng.randint(0, 20))]
+        x, y = np.array(a, np.uint32), np.array(b, np.uint32)
+        assert nd.at_most(x, y) >= plain(a, b)
+        assert nd.similar(x, y) == (plain(a, b) <= int(0.2 * max(len(a), len(b)) + 1e-9))
+
+
 def test_rows_and_diagonals_agree():
     rng = random.Random(4)
     for _ in range(100):
