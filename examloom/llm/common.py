@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,12 +29,58 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/examloom"
 
 
+_open = threading.local()
+
+
+class Scratch:
+    """Tables written in a scope, and which of them outlive it."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.kept = spark, [], set()
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.kept.add(df._written)
+        return df
+
+    def clear(self) -> None:
+        """Deletes the scope's tables but the kept ones; a store that refuses keeps them."""
+        sc = self.spark.sparkContext
+        for path in self.paths:
+            if path not in self.kept:
+                place = sc._jvm.org.apache.hadoop.fs.Path(path)
+                place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
+        self.paths = [p for p in self.paths if p in self.kept]
+
+
+@contextmanager
+def scratch(spark: SparkSession, clear: bool = True) -> Iterator[Scratch]:
+    """A scope whose tables go when it ends.  What leaves it must be kept, and depend on kept tables alone.
+
+    With ``clear`` false they stay until the caller clears them.
+    """
+    scopes = _open.__dict__.setdefault("scopes", [])
+    got = Scratch(spark)
+    scopes.append(got)
+    try:
+        yield got
+    finally:
+        scopes.remove(got)
+        if clear:
+            got.clear()
+        for outer in scopes[-1:]:
+            outer.paths += got.paths
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again: lineage ends here and any executor can reread it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for scope in _open.__dict__.get("scopes", [])[-1:]:
+        scope.paths.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
 
 
 def bound_batches(spark: SparkSession) -> None:

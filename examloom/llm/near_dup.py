@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh, written
+from .common import bound_batches, fresh, scratch, written
 
 K, SKETCHES, PICKS, SIMILARITY = 5, 20, 2, 0.8
 #: Texts of so many words or fewer also meet by every single mer: a few edits leave them few mers in common.
@@ -39,6 +39,8 @@ _SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).dig
 _WORDS_KNOWN = 1_000_000
 #: Classes of words in a tally: words that one text has too many of need an edit each, so tallies rule pairs out before words are fetched.
 TALLY = 256
+#: Words of the runs that anchor a quick alignment.
+ANCHOR = 3
 #: Bits of the bitmap that tells which texts share a bucket: 8 MB in every task.
 FILTER_BITS = 26
 
@@ -190,17 +192,37 @@ def tally(codes: np.ndarray) -> bytes:
 
 
 def at_most(a: np.ndarray, b: np.ndarray) -> int:
-    """Edits of an alignment by the words that each text has once: a bound from above."""
-    words, at, n = np.unique(a, return_index=True, return_counts=True)
-    once, where = words[n == 1], at[n == 1]
-    other, at, n = np.unique(b, return_index=True, return_counts=True)
-    other, place = other[n == 1], at[n == 1]
-    _, i, j = np.intersect1d(once, other, assume_unique=True, return_indices=True)
-    x, y = where[i], place[j]
+    """Edits of an alignment by the runs of ANCHOR words that each text has once: a bound from above."""
+    if min(len(a), len(b)) < ANCHOR:
+        return max(len(a), len(b))
+    sides = []
+    for c in (a, b):
+        with np.errstate(over="ignore"):
+            h = np.zeros(len(c) - ANCHOR + 1, np.uint64)
+            for j in range(ANCHOR):
+                h = (h ^ c[j : len(c) - ANCHOR + 1 + j]) * _ODD
+                h ^= h >> np.uint64(31)
+        order = np.argsort(h)
+        s = h[order]
+        lone = np.ones(len(s), bool)
+        same = s[1:] == s[:-1]
+        lone[1:] &= ~same
+        lone[:-1] &= ~same
+        sides.append((s[lone], order[lone]))
+    (p, x), (q, y) = sides
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    hit = q[at] == p if len(q) else np.zeros(len(p), bool)
+    x, y = x[hit], y[at[hit]]
     order = np.argsort(x)
     x, y = x[order], y[order]
-    ahead = y > np.concatenate([[-1], np.maximum.accumulate(y)[:-1]])  # anchors that run in the same order in both
-    x, y = np.concatenate([[-1], x[ahead], [len(a)]]), np.concatenate([[-1], y[ahead], [len(b)]])
+    forward = y > np.concatenate([[-1], np.maximum.accumulate(y)[:-1]])  # runs in the same order in both
+    x, y = x[forward], y[forward]
+    x, y = np.concatenate([x + j for j in range(ANCHOR)]), np.concatenate([y + j for j in range(ANCHOR)])
+    x, first = np.unique(x, return_index=True)
+    y = y[first]
+    forward = (y > np.concatenate([[-1], np.maximum.accumulate(y)[:-1]])) & (a[x] == b[y])
+    x, y = np.concatenate([[-1], x[forward], [len(a)]]), np.concatenate([[-1], y[forward], [len(b)]])
     return int(np.maximum(np.diff(x) - 1, np.diff(y) - 1).sum())
 
 
@@ -320,15 +342,20 @@ def leader_pairs(members: DataFrame, order) -> DataFrame:
 
 
 def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
-    """(row, key, root) of every text with a word: equal root means one class."""
+    """(row, root) of every text with a word, written: equal root means one class.  What it took is deleted."""
+    with scratch(rows.sparkSession) as scope:
+        return scope.keep(written(_text_classes(rows, row, text), "classes"))
+
+
+def _text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     sketches = written(sketched(rows, row, text), "sketches")
     nodes = written(sketches.groupBy("key").agg(F.min("row").alias("node")), "nodes")
     first = nodes.select("node")
     members = sketches.select(F.col("row").alias("node"), "n", "buckets").join(first, "node", "left_semi").select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
     members = written(members.join(shared, "bucket").select("bucket", "node", "n", (F.col("band") % ORDERS).alias("order")), "buckets")
-    known = among(sketches.select(F.col("row").alias("node"), "n", "tally", "words"), members)
-    words, tallies = known.select("node", "words"), known.select("node", "n", "tally")
+    words = sketches.select(F.col("row").alias("node"), "words")
+    tallies = among(sketches.select(F.col("row").alias("node"), "n", "tally"), members)
 
     # every order elects its own leaders over the buckets of its bands; later turns over what is not yet one class
     turn, roots, seen = 0, None, None
@@ -339,6 +366,8 @@ def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
         pairs = written(pairs, "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
         likely = written(plausible(pairs, tallies), "likely")
+        if likely.isEmpty():
+            break
         found = written(compared(likely, words), "links")
         if found.isEmpty():
             break
@@ -358,13 +387,13 @@ def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
         members = written(labelled.join(mixed, "bucket").drop("root"), "buckets")
         turn += 1
     named = nodes.select("key", "node") if roots is None else nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("node"))
-    return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key")
+    return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key").select("row", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and class_id, the least doc_id of its class."""
     rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "near-docs")
-    classes = written(text_classes(rows, "row", "text"), "classes").select("row", "root")
+    classes = text_classes(rows, "row", "text")
     ids = rows.select("row", "doc_id")
     whose = ids.join(classes, "row", "left")
     names = whose.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
@@ -375,7 +404,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The first document, by doc_id, of each class; texts without words all stay."""
     row, = fresh(docs, "_row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    classes = text_classes(rows, row, "text").select("row", "root")
+    classes = text_classes(rows, row, "text")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = rows.select(F.col(row).alias("row"), "doc_id").join(classes, "row").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     gone = classes.join(first.filter("n > 1").select("root", F.col("first.row").alias("kept")), "root").filter("row <> kept")
