@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import bound_batches
+from .common import bound_batches, fresh
 
 #: Entries of each table of known chunks and pre-tokens, and the longest chunk kept.
 TABLE_ENTRIES = 400_000
@@ -186,8 +186,9 @@ def encoder(rank_file: str, pattern: str) -> ByteBPE:
 
 
 def encode_column(docs: DataFrame, rank_file: str, pattern: str, column: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``column`` as an array; every other column as it was."""
+    """``docs`` with the ids of ``column`` as an array; every other column as it was (a taken name gets an underscore)."""
     bound_batches(docs.sparkSession)
+    ids, = fresh(docs, ids)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_file, pattern)
@@ -199,8 +200,9 @@ def encode_column(docs: DataFrame, rank_file: str, pattern: str, column: str = "
 
 
 def decode_column(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes of the ids; null ids give no bytes."""
+    """``encoded`` with the bytes of the ids; null ids give no bytes, a taken name gets an underscore."""
     bound_batches(encoded.sparkSession)
+    data, = fresh(encoded, data)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_file, pattern)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches
 
-#: Bounds of the model: examples of each class, and characters of them that the driver holds at once.
+#: Bound of the model: examples of each class.
 EXAMPLES = {1: 1000, 0: 1500}
 BLOCK, NEIGHBOURS, MIN_DF, CUT = 64, 30, 4, 0.3
 #: A term is kept from so much chi-square for each natural logarithm of the examples: more examples try more terms.
