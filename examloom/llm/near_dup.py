@@ -41,8 +41,8 @@ _WORDS_KNOWN = 1_000_000
 TALLY = 256
 #: Words of the runs that anchor a quick alignment.
 ANCHOR = 3
-#: Bits of the bitmap that tells which texts share a bucket: 8 MB in every task.
-FILTER_BITS = 26
+#: Bits (their logarithm) of the bitmap that tells which texts are wanted: 2 MB in every task.
+FILTER_BITS = 24
 
 
 def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -284,21 +284,25 @@ def plausible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
 def among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``rows`` whose node is one of ``nodes``, written.
 
-    A bitmap of hashed nodes goes to every task first (FILTER_BITS bits, whatever the input), so most rows that do not belong
+    A bitmap of hashed nodes goes to every task first (2 ** FILTER_BITS bits, whatever the input), so most rows that do not belong
     never cross the network; the join that follows is exact.
     """
     place = (F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)) + 1).cast("long")
     nodes = nodes.select("node").distinct()
-    bits = nodes.groupBy(F.bitmap_bucket_number(place).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits"))
+    # dealt by bucket first, so that each piece of the bitmap is built in one place and no partial ones travel
+    places = nodes.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")).repartition("_bucket")
+    bits = places.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     position = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     has = F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1
     likely = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket").filter(has).drop("_bucket", "_bits")
-    return written(likely.join(nodes, "node", "left_semi"), "among")
+    # an inner join on distinct nodes: a semi-join would be moved below the bitmap and shuffle every row
+    return written(likely.join(nodes, "node"), "among")
 
 
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words are similar; words: node, words."""
+    words = among(words, pairs.select(F.explode(F.array("a", "b")).alias("node")))
     both = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
