@@ -34,6 +34,8 @@ K, SKETCHES, PICKS, SIMILARITY = 5, 20, 2, 0.8
 SHORT = 40
 #: Seeded orders by which buckets elect leaders, in the first round.
 ORDERS = 3
+#: Leaders that a bucket elects at once in each later round.
+LATER = 4
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(SKETCHES)], np.uint64)
 _WORDS_KNOWN = 1_000_000
@@ -338,10 +340,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def leader_pairs(members: DataFrame, order) -> DataFrame:
     """(a, b): each member of a bucket with its leader, the least by ``order``, where their lengths allow a link."""
-    rank = F.xxhash64("node", order)
-    leaders = members.groupBy("bucket").agg(F.min_by("node", rank).alias("leader"), F.min_by("n", rank).alias("size"))
+    members = members.withColumn("order", order)
+    rank = F.xxhash64("node", "order")
+    leaders = members.groupBy("bucket", "order").agg(F.min_by("node", rank).alias("leader"), F.min_by("n", rank).alias("size"))
     fits = F.abs(F.col("n") - F.col("size")) <= F.greatest("n", "size") * (1 - SIMILARITY) + 1e-9
-    pairs = members.join(leaders, "bucket").filter((F.col("node") != F.col("leader")) & fits)
+    pairs = members.join(leaders, ["bucket", "order"]).filter((F.col("node") != F.col("leader")) & fits)
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
@@ -364,7 +367,7 @@ def _text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     # every order elects its own leaders over the buckets of its bands; later turns over what is not yet one class
     turn, roots, seen = 0, None, None
     while True:
-        pairs = leader_pairs(members, F.col("order") if not turn else F.lit(ORDERS + turn))
+        pairs = leader_pairs(members, F.col("order") if not turn else F.explode(F.sequence(F.lit(ORDERS + LATER * turn), F.lit(ORDERS + LATER * (turn + 1) - 1))))
         if turn:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
