@@ -360,7 +360,9 @@ def _text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     first = nodes.select("node")
     members = sketches.select(F.col("row").alias("node"), "n", "buckets").join(first, "node", "left_semi").select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
-    members = written(members.join(shared, "bucket").select("bucket", "node", "n", (F.col("band") % ORDERS).alias("order")), "buckets")
+    # the bucket of a single mer stands at another place in every text, so its order follows from the bucket itself
+    order = F.when(F.col("band") < SKETCHES, F.col("band") % ORDERS).otherwise(F.pmod("bucket", F.lit(ORDERS))).cast("int")
+    members = written(members.join(shared, "bucket").select("bucket", "node", "n", order.alias("order")), "buckets")
     words = sketches.select(F.col("row").alias("node"), "words")
     tallies = among(sketches.select(F.col("row").alias("node"), "n", "tally"), members)
 

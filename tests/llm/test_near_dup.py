@@ -111,3 +111,19 @@ def test_null_ids_and_empty_tables(spark):
     assert got == sorted([(None, 4), (None, 4), (4, 4), (4, 4), (None, None)], key=str)
     assert nd.near_duplicates(df.limit(0)).count() == 0
     assert nd.keep_one(df).count() == 3
+
+
+def test_a_lone_pair_of_short_texts_with_one_mer_in_common(spark):
+    """Their only shared bucket is a single mer, at places of their sorted mers that differ modulo the orders."""
+    for seed in range(100):
+        rng = random.Random(seed)
+        a = [f"w{rng.randrange(100000)}" for _ in range(25)]
+        b = [f"z{i}" if i in (3, 7, 11, 15, 19) else w for i, w in enumerate(a)]
+        x, y = (nd.sketch(nd.word_codes([w.encode() for w in t], {})).tolist() for t in (a, b))
+        both = set(x) & set(y)
+        if len(both) == 1 and all(x.index(k) >= nd.SKETCHES and (x.index(k) - y.index(k)) % nd.ORDERS for k in both):
+            break
+    else:
+        raise AssertionError("no such pair")
+    df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "some other words that nobody else has")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
