@@ -5,7 +5,8 @@ smallest labelled mers, and their hashes in the order of the text are a bucket:
 in the same order, which follows edit similarity.  In a bucket every text is compared with leaders, not with all others:
 min over a seeded order, several orders over the buckets, so no bucket emits its pairs.  A comparison is a banded alignment over
 words: linked are texts with at least SIMILARITY of one less edits over the longer length; pairs that a tally of their words rules out are not aligned.  Buckets whose texts do not
-yet form one class elect new leaders until a round finds no link.  Classes are the connected components, found by contraction, each
+yet form one class elect new leaders while that is worth it; then every pair of a bucket that is still of two classes is
+compared, block by block, under the bounds of lengths and tallies, so leaders only save work and lose no link.  Classes are the connected components, found by contraction, each
 step a written table; equal texts are one node throughout.
 
 Nothing is collected: links, labels and sketches stay in tables.  Hot buckets and classes are met by partial aggregation
@@ -36,6 +37,10 @@ SHORT = 40
 ORDERS = 3
 #: Leaders that a bucket elects at once in each later round.
 LATER = 4
+#: Pairs of two classes in a bucket, for each member of such a bucket, from which another round of leaders comes first.
+DIRECT = 64
+#: Members of a block, and the ratio of lengths that a level of blocks spans: beyond 1 / SIMILARITY, so links stay within neighbouring levels.
+BLOCK, LEVEL = 256, 1.26
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(SKETCHES)], np.uint64)
 _WORDS_KNOWN = 1_000_000
@@ -339,15 +344,83 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def leader_pairs(members: DataFrame, order) -> DataFrame:
-    """(a, b): each member of a bucket with its leader, the least by ``order``, where their lengths allow a link."""
+    """(a, b): each member of a bucket with its leader, the least by ``order``, where they are of two classes and their lengths allow a link."""
     members = members.withColumn("order", order)
     rank = F.xxhash64("node", "order")
-    leaders = members.groupBy("bucket", "order").agg(F.min_by("node", rank).alias("leader"), F.min_by("n", rank).alias("size"))
+    leaders = members.groupBy("bucket", "order").agg(F.min_by("node", rank).alias("leader"), F.min_by("n", rank).alias("size"), F.min_by("root", rank).alias("of"))
     fits = F.abs(F.col("n") - F.col("size")) <= F.greatest("n", "size") * (1 - SIMILARITY) + 1e-9
-    pairs = members.join(leaders, ["bucket", "order"]).filter((F.col("node") != F.col("leader")) & fits)
+    pairs = members.join(leaders, ["bucket", "order"]).filter((F.col("root") != F.col("of")) & fits)
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
+def block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two blocks (node, n, root, tallies) that are of two classes and whose lengths and tallies leave a link possible."""
+    longest = np.maximum(x[1][:, None], y[1][None, :])
+    open_ = (x[2][:, None] != y[2][None, :]) & (np.abs(x[1][:, None] - y[1][None, :]) <= longest * (1 - SIMILARITY) + 1e-9)
+    if same:
+        open_ = np.triu(open_, 1)
+    i, j = np.nonzero(open_)
+    most = np.floor(longest[i, j] * (1 - SIMILARITY) + 1e-9)
+    sums = [t.sum(axis=1, dtype=np.int64) for t in (x[3], y[3])]
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 8192):
+        p, q = i[at : at + 8192], j[at : at + 8192]
+        common = np.minimum(x[3][p], y[3][q]).sum(axis=1, dtype=np.int64)
+        keep[at : at + 8192] = np.maximum(sums[0][p], sums[1][q]) - common <= most[at : at + 8192]
+    return x[0][i[keep]], y[0][j[keep]]
+
+
+def open_pairs(members: DataFrame, tallies: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a bucket's members that are of two classes and may be linked, by their lengths and tallies.
+
+    Members are dealt by hash into blocks of one level of lengths each, and pairs of blocks into tasks, so a task holds two blocks
+    however large a bucket is.
+    """
+    bound_batches(members.sparkSession)
+    placed = members.select("bucket", "node", "n", "root", F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int").alias("level"))
+    parts = written(placed.groupBy("bucket", "level").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "parts")
+    placed = placed.join(parts, ["bucket", "level"]).join(tallies.select("node", "tally"), "node")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    blocks = written(placed.groupBy("bucket", "level", part).agg(F.collect_list(F.struct("node", "n", "root", "tally")).alias("block")), "blocks")
+    near = parts.select("bucket", "size", F.col("level").alias("level_a"), F.col("parts").alias("_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level_b"))
+    near = near.join(parts.select("bucket", F.col("level").alias("level_b"), F.col("parts").alias("_b")), ["bucket", "level_b"])
+    own = F.col("level_a") == F.col("level_b")
+    near = near.filter(~own | (F.col("size") > 1)).withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
+    near = near.withColumn("part_b", F.explode(F.sequence(F.when(own, F.col("part_a")).otherwise(0), F.col("_b") - 1)))
+    near = near.select("bucket", "level_a", "level_b", "part_a", "part_b", (own & (F.col("part_a") == F.col("part_b"))).alias("same"))
+    for x in "ab":
+        near = near.join(blocks.select("bucket", F.col("level").alias(f"level_{x}"), F.col("part").alias(f"part_{x}"), F.col("block").alias(f"block_{x}")), ["bucket", f"level_{x}", f"part_{x}"])
+
+    def block(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
+        got = rows.values
+        node, n, root, tallies = (got.field(i) for i in range(4))
+        counts = np.frombuffer(b"".join(tallies.to_pylist()), np.uint8).reshape(-1, TALLY)
+        return node.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64), root.to_numpy(zero_copy_only=False), counts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for same, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                a, b = block_pairs(block(x), block(y), same)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    return near.select("same", "block_a", "block_b").mapInArrow(run, "a long, b long").distinct()
+
+
+def joined(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """``roots`` with the classes that the links ``found`` join, written; None if they join none."""
+    if roots is None:
+        return None if found.isEmpty() else components(found)
+    at = {x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"}
+    links = found.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    links = written(links.filter("a <> b").distinct(), "links")
+    if links.isEmpty():
+        return None
+    more = components(links)
+    further = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
+    return written(further.unionByName(more.join(roots, "node", "left_anti").select("node", "root")), "roots")
+
+
 def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     """(row, root) of every text with a word, written: equal root means one class.  What it took is deleted."""
     with scratch(rows.sparkSession) as scope:
@@ -368,33 +441,30 @@ def _text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
 
     # every order elects its own leaders over the buckets of its bands; later turns over what is not yet one class
     turn, roots, seen = 0, None, None
+    members = members.withColumn("root", F.col("node"))
     while True:
         pairs = leader_pairs(members, F.col("order") if not turn else F.explode(F.sequence(F.lit(ORDERS + LATER * turn), F.lit(ORDERS + LATER * (turn + 1) - 1))))
         if turn:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
         seen = pairs if seen is None else seen.unionByName(pairs)
-        likely = written(plausible(pairs, tallies), "likely")
-        if likely.isEmpty():
-            break
-        found = written(compared(likely, words), "links")
-        if found.isEmpty():
-            break
-        if roots is None:
-            roots = components(found)
-        else:
-            at = {x: roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"}
-            links = found.join(at["a"], "a", "left").join(at["b"], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-            links = written(links.filter("a <> b").distinct(), "links")
-            if links.isEmpty():
-                break
-            more = components(links)
-            further = roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root"))
-            roots = written(further.unionByName(more.join(roots, "node", "left_anti").select("node", "root")), "roots")
-        labelled = members.join(roots, "node", "left").select("bucket", "node", "n", "order", F.coalesce("root", "node").alias("root"))
-        mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-        members = written(labelled.join(mixed, "bucket").drop("root"), "buckets")
-        turn += 1
+        found = written(compared(written(plausible(pairs, tallies), "likely"), words), "links")
+        more = joined(roots, found)
+        if more is not None:
+            roots = more
+            labelled = members.drop("root").join(roots, "node", "left").select("bucket", "node", "n", "order", F.coalesce("root", "node").alias("root"))
+            mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
+            members = written(labelled.join(mixed, "bucket"), "buckets")
+            sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
+            size, left = sizes.agg(F.sum("c"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2)).first()
+            turn += 1
+            if size and left > DIRECT * size:
+                continue
+        # whatever rounds there were, each pair of two classes that shares a bucket is now compared
+        pairs = open_pairs(members, tallies).join(seen, ["a", "b"], "left_anti")
+        more = joined(roots, written(compared(written(pairs, "likely"), words), "links"))
+        roots = roots if more is None else more
+        break
     named = nodes.select("key", "node") if roots is None else nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("node"))
     return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key").select("row", "root")
 

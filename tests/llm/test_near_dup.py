@@ -127,3 +127,31 @@ def test_a_lone_pair_of_short_texts_with_one_mer_in_common(spark):
         raise AssertionError("no such pair")
     df = spark.createDataFrame([(1, " ".join(a)), (2, " ".join(b)), (3, "some other words that nobody else has")], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def test_a_link_of_two_texts_in_a_crowded_bucket(spark):
+    """A passage brings 300 texts into the same buckets; two of them are near copies that share no mer besides it."""
+    rng = random.Random(6)
+    passage = [f"p{i}" for i in range(40)]
+    own = [[f"w{rng.randrange(100000)}" for _ in range(20)] for _ in range(299)]
+    own.append([f"z{i}" if i % 5 == 4 else w for i, w in enumerate(own[150])])
+    df = spark.createDataFrame([(i, " ".join(passage + o)) for i, o in enumerate(own)], "doc_id long, text string")
+    got = {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()}
+    assert got == {i: 150 if i == 299 else i for i in range(300)}
+
+
+def test_blocks_leave_the_pairs_that_tallies_and_lengths_leave():
+    rng = random.Random(8)
+    texts = [[rng.randrange(60) for _ in range(rng.randint(1, 30))] for _ in range(60)]
+    texts += [t[:-1] + [rng.randrange(60)] for t in texts]
+    codes = [np.array(t, np.uint32) for t in texts]
+    roots = np.array([rng.randrange(90) for _ in texts])
+    rows = (np.arange(len(texts)), np.array([len(t) for t in texts]), roots, np.stack([np.frombuffer(nd.tally(c), np.uint8) for c in codes]))
+    for x, y, same in ((slice(0, 120), slice(0, 120), True), (slice(0, 50), slice(50, 120), False)):
+        a, b = nd.block_pairs(tuple(r[x] for r in rows), tuple(r[y] for r in rows), same)
+        got = set(zip(a.tolist(), b.tolist(), strict=True))
+        assert len(got) == len(a)
+        for i in rows[0][x].tolist():
+            for j in rows[0][y].tolist():
+                if (i < j or not same) and roots[i] != roots[j] and nd.similar(codes[i], codes[j]):
+                    assert (i, j) in got
