@@ -435,8 +435,8 @@ def pick_furniture(spark, sf_dir):
     return ordered.pick_furniture(_view(spark, sf_dir, PAGES, "customer", "region"), _view(spark, sf_dir, MASTERS, "orders"))
 
 
-OPS = "SELECT l_orderkey * 10 + l_linenumber AS op_id, l_suppkey % 20 AS page, l_linenumber % 2 AS \"column\", l_partkey * 37 % 90000 AS y FROM lineitem WHERE l_partkey % 4 = 0"
-BANDS = "SELECT o_orderkey AS unit_no, o_custkey % 20 AS page, o_orderkey % 2 AS \"column\", o_orderkey * 13 % 80000 AS y0, o_orderkey * 13 % 80000 + 2500 AS y1 FROM orders WHERE o_orderkey % 16 = 1"
+OPS = "SELECT l_orderkey * 10 + l_linenumber AS op_id, CAST(floor(l_orderkey / 16) AS BIGINT) AS page, l_linenumber % 2 AS \"column\", l_partkey * 37 % 90000 AS y FROM lineitem"
+BANDS = "SELECT o_orderkey AS unit_no, CAST(floor(o_orderkey / 16) AS BIGINT) AS page, o_orderkey % 2 AS \"column\", o_orderkey * 13 % 80000 AS y0, o_orderkey * 13 % 80000 + 2500 AS y1 FROM orders"
 
 
 @query(f"SELECT op_id, min(unit_no) AS unit_no FROM ({OPS}) o JOIN ({BANDS}) b ON o.page = b.page AND o.\"column\" = b.\"column\" AND y BETWEEN y0 - 700 AND y1 + 700 GROUP BY op_id")

@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from examloom.plans import catalog
 from examloom.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,10 @@ def test_equals_duckdb(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
 def test_runs(spark, name):
     assert QUERIES[name](spark, SF).count() > 0
+
+
+def test_crop_attribution_takes_whole_tables(duck):
+    """Each line and each order is in the range join, on pages of at most 16 units."""
+    for sql, name in ((catalog.OPS, "lineitem"), (catalog.BANDS, "orders")):
+        assert duck.sql(f"SELECT count(*) FROM ({sql})").fetchall() == duck.sql(f"SELECT count(*) FROM {name}").fetchall()
+    assert duck.sql(f"SELECT max(n) FROM (SELECT count(*) AS n FROM ({catalog.BANDS}) GROUP BY page)").fetchall()[0][0] <= 16
