@@ -1,16 +1,20 @@
 """Operator 2: near duplicates by Order MinHash and banded alignment.
 
-A text's K-word mers are labelled by occurrence (first, second, ...).  Each of SKETCHES seeded orders picks the two
-smallest labelled mers, and their hashes in the order of the text are a bucket: texts meet where they share mers
-in the same order, which follows edit similarity.  In a bucket every text is compared with leaders, not with all others:
-min over a seeded order, several orders over the buckets, so no bucket emits its pairs.  A comparison is a banded alignment over
-words: linked are texts with at least SIMILARITY of one less edits over the longer length; pairs that a tally of their words rules out are not aligned.  Buckets whose texts do not
-yet form one class elect new leaders while that is worth it; then every pair of a bucket that is still of two classes is
-compared, block by block, under the bounds of lengths and tallies, so leaders only save work and lose no link.  Classes are the connected components, found by contraction, each
-step a written table; equal texts are one node throughout.
-
-Nothing is collected: links, labels and sketches stay in tables.  Hot buckets and classes are met by partial aggregation
-and joins whose skewed side Spark may split.
+A text's K-word mers are labelled by occurrence (first, second, ...).  Each of ORDERS seeded orders samples the PICKS smallest
+labelled mers; every two of them, in the order they have in the text, are a bucket: texts meet where they share mers in the same
+order, which follows edit similarity.  Short texts have few mers, so they also meet by single ones: a text of m mers by
+``min(m, LONE * (LONE / m) ** 2)``, a number that falls smoothly to none.
+
+In a bucket every text is first compared with one leader, so a crowd of copies costs what it has members, not pairs; linked
+classes are contracted, and leaders are elected anew while that settles much.  Then every pair of a bucket that is still of two
+classes is looked at, block by block, in windows that double: each pair belongs to one window, and only those still of
+two classes when it comes are aligned.  So no pair that shares a bucket goes unseen, and no link between texts is lost.  The largest class of a
+bucket has blocks of its own, which are never paired with one another.
+
+A pair is linked if a banded alignment over words finds at least SIMILARITY of one less edits over the longer length.  Pairs that
+lengths or a tally of words rule out are not aligned.  Classes are the connected components, found by contraction,
+each step a written table; equal texts are one node throughout.  Nothing is collected: links, labels and sketches stay in tables.  Hot
+buckets and classes are met by partial aggregation and joins whose skewed side Spark may split.
 
 Edge cases: texts without words are copies of nothing; a text of fewer than K words is one mer; null doc ids name no class
 (a class is named by its least doc_id); repeated rows are in one class; an empty table gives an empty result.
@@ -20,7 +24,6 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,19 +33,19 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, fresh, scratch, written
 
-K, SKETCHES, PICKS, SIMILARITY = 5, 20, 2, 0.8
-#: Texts of so many words or fewer also meet by every single mer: a few edits leave them few mers in common.
-SHORT = 40
-#: Seeded orders by which buckets elect leaders, in the first round.
-ORDERS = 3
-#: Leaders that a bucket elects at once in each later round.
-LATER = 4
-#: Pairs of two classes in a bucket, for each member of such a bucket, from which another round of leaders comes first.
+K, ORDERS, PICKS, SIMILARITY = 5, 8, 4, 0.8
+#: Mers up to which a text meets by every single one; beyond, their number falls with the square of the length.
+LONE = 36
+#: Pairs of two classes in a bucket, for each member of such a bucket, from which another round of leaders may come first.
 DIRECT = 64
 #: Members of a block, and the ratio of lengths that a level of blocks spans: beyond 1 / SIMILARITY, so links stay within neighbouring levels.
-BLOCK, LEVEL = 256, 1.26
+BLOCK, LEVEL = 1024, 1.26
+#: Windows into which the pairs of blocks are dealt; all that are left come at once if they are so few for each member.
+SLOTS, FEW = 64, 4
+#: Links that one task contracts; more are first made fewer by all tasks.
+FINISH = 1 << 19
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(SKETCHES)], np.uint64)
+_SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).digest(), "little") for i in range(ORDERS)], np.uint64)
 _WORDS_KNOWN = 1_000_000
 #: Classes of words in a tally: words that one text has too many of need an edit each, so tallies rule pairs out before words are fetched.
 TALLY = 256
@@ -86,111 +89,72 @@ def labelled_mers(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(codes: np.ndarray) -> np.ndarray:
-    """SKETCHES buckets: hashes of the PICKS smallest labelled mers of each order, in the order of the text; a short text's mers too."""
+    """The buckets: ordered pairs of the PICKS smallest labelled mers of each order, and the smallest single mers of a short text."""
     h, x = labelled_mers(codes)
-    out = np.empty(SKETCHES, np.uint64)
-    picks = min(PICKS, len(h))
-    step = max(1, (1 << 18) // len(h))
+    m, picks = len(h), min(PICKS, len(h))
+    first, second = np.triu_indices(picks, 1)
+    out = []
     with np.errstate(over="ignore"):
-        for a in range(0, SKETCHES, step):
-            seeds = _SEEDS[a : a + step]
-            v = (x[None, :] ^ seeds[:, None]) * _MUL
+        step = max(1, (1 << 18) // m) if picks > 1 else ORDERS
+        for a in range(0, ORDERS if picks > 1 else 0, step):
+            v = (x[None, :] ^ _SEEDS[a : a + step, None]) * _MUL
             v ^= v >> np.uint64(32)
             v *= _ODD
-            best = np.argpartition(v, picks - 1, axis=1)[:, :picks] if len(h) > picks else np.tile(np.arange(picks), (len(seeds), 1))
+            best = np.argpartition(v, picks - 1, axis=1)[:, :picks] if m > picks else np.tile(np.arange(picks), (len(v), 1))
             best.sort(axis=1)
-            got = seeds.copy()
-            for j in range(picks):
-                got = (got ^ h[best[:, j]]) * _ODD
-                got ^= got >> np.uint64(29)
-            out[a : a + step] = got
-    out = out.view(np.int64)
-    return np.concatenate([out, np.unique(h.view(np.int64))]) if len(codes) <= SHORT else out
+            got = h[best]
+            pair = (got[:, first] * _ODD ^ got[:, second]) * _MUL
+            out.append(((pair ^ pair >> np.uint64(29)) * _ODD).ravel())
+        lone = min(m, int(LONE * (LONE / m) ** 2))
+        if lone:
+            v = (h ^ _SEEDS[0]) * _MUL
+            out.append(h[np.argsort(v ^ v >> np.uint64(31), kind="stable")[:lone]])
+    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
 
 
 def edits(a: np.ndarray, b: np.ndarray, most: int) -> int:
     """Edits between two word sequences, or ``most + 1`` if there are more."""
-    n = min(len(a), len(b))
-    differ = np.flatnonzero(a[:n] != b[:n])
-    head = int(differ[0]) if len(differ) else n
-    if len(a) == len(b) and len(differ) <= 1:
-        return len(differ)
-    a, b = a[head:], b[head:]
-    n = min(len(a), len(b))
-    if n:
-        differ = np.flatnonzero(a[len(a) - n :] != b[len(b) - n :])
-        tail = n - 1 - int(differ[-1]) if len(differ) else n
-        a, b = a[: len(a) - tail], b[: len(b) - tail]
-    if not len(a) or not len(b):
-        return min(max(len(a), len(b)), most + 1)
-    if abs(len(a) - len(b)) > most:
-        return most + 1
-    # words that only one of them has, counted with repetition, need an edit each
-    both, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    diff = np.bincount(at[: len(a)], minlength=len(both)) - np.bincount(at[len(a) :], minlength=len(both))
-    if max(int(diff[diff > 0].sum()), -int(diff[diff < 0].sum())) > most:
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
         return most + 1
-    got = _by_diagonals(a, b, min(most, 24))
-    if got is not None:
-        return got
-    band = 64
-    while band < most:  # widen until the edits fit in the band
-        got = _by_rows(a, b, band)
-        if got <= band:
-            return got
-        band *= 4
-    return min(_by_rows(a, b, most), most + 1) if most > 24 else most + 1
-
-
-def _by_diagonals(a: np.ndarray, b: np.ndarray, most: int) -> int | None:
-    """Edits if ``most`` suffice: how far each number of edits reaches on each diagonal."""
-    n, m = len(a), len(b)
-    breaks: dict[int, list[int]] = {}
-
-    def slide(k: int, i: int) -> int:
-        got = breaks.get(k)
-        lo, hi = max(0, -k), min(n, m - k)
-        if got is None:
-            got = breaks[k] = [*(np.flatnonzero(a[lo:hi] != b[lo + k : hi + k]) + lo).tolist(), hi]
-        return got[bisect_left(got, i)] if i < hi else i
-
-    reach = {0: slide(0, 0)}
-    if n == m and reach[0] >= n:
-        return 0
-    for e in range(1, most + 1):
-        new: dict[int, int] = {}
-        for k in range(-e, e + 1):
-            i = max(reach.get(k, -1) + 1 if k in reach else -1, reach.get(k - 1, -1), reach[k + 1] + 1 if k + 1 in reach else -1)
-            i = min(i, n, m - k)
-            if i < max(0, -k):
-                continue
-            new[k] = slide(k, i)
-        reach = new
-        if reach.get(m - n, -1) >= n:
-            return e
-    return None
-
-
-def _by_rows(a: np.ndarray, b: np.ndarray, band: int) -> int:
-    """Edits along paths at most ``band`` off the diagonal, or ``band + 1`` if there are more."""
-    n, m = len(a), len(b)
-    width = 2 * band + 1
-    pad = np.zeros(n + width + 1, np.int64) - 1
-    lo, hi = max(0, -band), min(m, n + band)
-    pad[lo + band : hi + band] = b[lo:hi]
-    step, far = np.arange(width), 1 << 40
-    row = np.where(step >= band, step - band, far)
-    for i in range(n):
-        cost = row + (pad[i : i + width] != a[i])
-        cost[:-1] = np.minimum(cost[:-1], row[1:] + 1)
-        if i + 1 <= band:  # the edge where nothing of b is used
-            cost[band - i - 1] = min(cost[band - i - 1], i + 1)
-            cost[: band - i - 1] = far
-        row = np.minimum.accumulate(cost - step) + step
-        if i % 32 == 31 and row.min() > band:
-            return band + 1
-    at = m - n + band
-    return min(int(row[at]), band + 1) if 0 <= at < width else band + 1
+    differ = np.flatnonzero(a[: len(b)] != b)
+    head = int(differ[0]) if len(differ) else len(b)
+    a, b = a[head:], b[head:]
+    differ = np.flatnonzero(a[len(a) - len(b) :] != b)
+    tail = len(b) - 1 - int(differ[-1]) if len(differ) else len(b)
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    return _banded(a.tolist(), b.tolist(), most) if len(b) else len(a)
+
+
+def _banded(a: list[int], b: list[int], most: int) -> int:
+    """Edits on the diagonals that ``most`` edits can reach, or ``most + 1``; ``a`` is the longer.
+
+    A column of the band is two integers: bits where the count of edits rises, and where it falls, from one place of ``a`` to the
+    next.  The band slides one place a column.  What lies beyond it counts one edit more than its neighbour in it, which is a
+    bound from above, so a count within ``most`` is exact.
+    """
+    off = len(a) - len(b)
+    low = (most - off) // 2  # diagonals -low to off + low
+    width = off + 2 * low + 1
+    mask, top, last = (1 << width) - 1, 1 << (width - 1), off + low
+    where: dict[int, int] = dict.fromkeys(b, 0)
+    for i, word in enumerate(a):
+        if word in where:
+            where[word] |= 1 << i
+    rises, falls = mask & ~((1 << (low + 1)) - 1), 0  # bit k of column j is place j - low + k of a; places up to 0 are flat
+    count = off
+    for j, word in enumerate(b):
+        same = (where[word] >> (j - low) if j >= low else where[word] << (low - j)) & mask
+        rises, falls = rises >> 1 | top, falls >> 1
+        free = ((same & rises) + rises ^ rises | same | falls) & mask  # the diagonal step costs nothing
+        if not free >> last & 1:
+            count += 1
+            if count > most:
+                return count
+        right_up, right_down = (falls | ~(free | rises)) << 1 | 1, (free & rises) << 1
+        rises, falls = (right_down | ~(free | right_up)) & mask, free & right_up & mask
+    return count
 
 
 def tally(codes: np.ndarray) -> bytes:
@@ -234,7 +198,7 @@ def at_most(a: np.ndarray, b: np.ndarray) -> int:
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether so few edits suffice: an alignment word for word or by anchors may show it, else the banded one decides."""
+    """Whether few enough edits suffice: an alignment word for word or by anchors may show it, else the banded one decides."""
     longest = max(len(a), len(b))
     most = int(longest * (1 - SIMILARITY) + 1e-9)
     if len(a) == len(b) and int(np.count_nonzero(a != b)) <= most:
@@ -320,76 +284,108 @@ def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     return both.select("a", "b", "words_a", "words_b").mapInArrow(run, "a long, b long")
 
 
+def _contracted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of the links (a, b) of one task, by union of the greater root under the lesser."""
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := up.setdefault(x, x)) != x:
+            up[x] = x = up[y]
+        return x
+
+    for batch in rows:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = root(a), root(b)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    yield pa.RecordBatch.from_arrays([pa.array(list(up), pa.int64()), pa.array([root(x) for x in up], pa.int64())], ["node", "root"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node of ``links`` (a, b): root is the least node of its component.
 
-    By contraction: every node takes the least of itself and its neighbours, twice over; links between what is left of a
-    component are kept and the step repeats on them, so later steps see ever fewer rows.
+    Links beyond FINISH are made fewer by contraction: every node takes the least of itself and its neighbours, twice over, and
+    links between what is left of a component are kept.  One task contracts the rest.
     """
-    edges, roots = links.filter("a <> b").select("a", "b"), None
-    while True:
+    edges, roots = written(links.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"), None
+
+    def further(more: DataFrame) -> DataFrame:
+        """``roots`` of the roots that ``more`` has."""
+        if roots is None:
+            return more
+        return written(roots.join(more.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
+
+    while edges.count() > FINISH:
         ways = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = written(ways.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "least")
         twice = least.join(least.select(F.col("node").alias("root"), F.col("root").alias("further")), "root").select("node", F.col("further").alias("root"))
         twice = written(twice, "least")
-        if roots is None:
-            roots = twice
-        else:
-            roots = written(roots.join(twice.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left").select("node", F.coalesce("further", "root").alias("root")), "roots")
+        roots = further(twice)
         a, b = twice.select(F.col("node").alias("a"), F.col("root").alias("x")), twice.select(F.col("node").alias("b"), F.col("root").alias("y"))
         rest = edges.join(a, "a").join(b, "b").filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         edges = written(rest, "edges")
-        if edges.isEmpty():
-            return roots
+    return further(written(edges.coalesce(1).mapInArrow(_contracted, "node long, root long"), "finished"))
 
 
-def leader_pairs(members: DataFrame, order) -> DataFrame:
-    """(a, b): each member of a bucket with its leader, the least by ``order``, where they are of two classes and their lengths allow a link."""
-    members = members.withColumn("order", order)
-    rank = F.xxhash64("node", "order")
-    leaders = members.groupBy("bucket", "order").agg(F.min_by("node", rank).alias("leader"), F.min_by("n", rank).alias("size"), F.min_by("root", rank).alias("of"))
+def leader_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each member of a bucket with its leader, the least by a seeded order, where they are of two classes and their lengths allow a link."""
+    rank = F.xxhash64("node", F.lit(turn))
+    leaders = members.groupBy("bucket").agg(F.min_by("node", rank).alias("leader"), F.min_by("n", rank).alias("size"), F.min_by("root", rank).alias("of"))
     fits = F.abs(F.col("n") - F.col("size")) <= F.greatest("n", "size") * (1 - SIMILARITY) + 1e-9
-    pairs = members.join(leaders, ["bucket", "order"]).filter((F.col("root") != F.col("of")) & fits)
+    pairs = members.join(leaders, "bucket").filter((F.col("root") != F.col("of")) & fits)
     return pairs.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
 
 
-def block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of two blocks (node, n, root, tallies) that are of two classes and whose lengths and tallies leave a link possible."""
-    longest = np.maximum(x[1][:, None], y[1][None, :])
-    open_ = (x[2][:, None] != y[2][None, :]) & (np.abs(x[1][:, None] - y[1][None, :]) <= longest * (1 - SIMILARITY) + 1e-9)
-    if same:
-        open_ = np.triu(open_, 1)
-    i, j = np.nonzero(open_)
-    most = np.floor(longest[i, j] * (1 - SIMILARITY) + 1e-9)
-    sums = [t.sum(axis=1, dtype=np.int64) for t in (x[3], y[3])]
-    keep = np.zeros(len(i), bool)
-    for at in range(0, len(i), 8192):
-        p, q = i[at : at + 8192], j[at : at + 8192]
-        common = np.minimum(x[3][p], y[3][q]).sum(axis=1, dtype=np.int64)
-        keep[at : at + 8192] = np.maximum(sums[0][p], sums[1][q]) - common <= most[at : at + 8192]
-    return x[0][i[keep]], y[0][j[keep]]
-
-
-def open_pairs(members: DataFrame, tallies: DataFrame) -> DataFrame:
-    """(a, b): all pairs of a bucket's members that are of two classes and may be linked, by their lengths and tallies.
-
-    Members are dealt by hash into blocks of one level of lengths each, and pairs of blocks into tasks, so a task holds two blocks
-    however large a bucket is.
+def block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of two blocks (node, n, root, tallies) in slots low to high that are of two classes and whose lengths and tallies leave a link possible."""
+    with np.errstate(over="ignore"):
+        h = [(t[0].astype(np.uint64) * _MUL ^ (t[0].astype(np.uint64) * _ODD >> np.uint64(31))) | np.uint64(1) for t in (x, y)]
+    sums = [t[3].sum(axis=1, dtype=np.int64) for t in (x, y)]
+    a, b = [], []
+    for i in range(len(x[0])):
+        at = slice(i + 1 if same else 0, None)
+        most = np.floor(np.maximum(x[1][i], y[1][at]) * (1 - SIMILARITY) + 1e-9)
+        open_ = (x[2][i] != y[2][at]) & (np.abs(x[1][i] - y[1][at]) <= most)
+        if high - low < SLOTS:
+            with np.errstate(over="ignore"):
+                slot = (h[0][i] * h[1][at]) >> np.uint64(64 - SLOTS.bit_length() + 1)
+            open_ &= (slot >= low) & (slot < high)
+        j = np.flatnonzero(open_)
+        if not len(j):
+            continue
+        most, j = most[j], j + (i + 1 if same else 0)
+        common = np.minimum(x[3][i], y[3][j]).sum(axis=1, dtype=np.int64)
+        j = j[np.maximum(sums[0][i], sums[1][j]) - common <= most]
+        a.append(np.full(len(j), x[0][i]))
+        b.append(y[0][j])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> DataFrame:
+    """(a, b): the pairs of a bucket's members in slots low to high that are of two classes and may be linked, by their lengths and tallies.
+
+    Members (bucket, node, n, root, top: the largest class of the bucket) are dealt by hash into blocks of one level of lengths, those of
+    the largest class apart, and pairs of blocks into tasks; so a task holds two blocks however large a bucket is.
     """
     bound_batches(members.sparkSession)
-    placed = members.select("bucket", "node", "n", "root", F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int").alias("level"))
-    parts = written(placed.groupBy("bucket", "level").agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "parts")
-    placed = placed.join(parts, ["bucket", "level"]).join(tallies.select("node", "tally"), "node")
+    kind = ["bucket", "level", "own"]
+    placed = members.select("bucket", "node", "n", "root", F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int").alias("level"), (F.col("root") == F.col("top")).alias("own"))
+    parts = written(placed.groupBy(*kind).agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "parts")
+    placed = placed.join(parts, kind).join(tallies.select("node", "tally"), "node")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    blocks = written(placed.groupBy("bucket", "level", part).agg(F.collect_list(F.struct("node", "n", "root", "tally")).alias("block")), "blocks")
-    near = parts.select("bucket", "size", F.col("level").alias("level_a"), F.col("parts").alias("_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level_b"))
-    near = near.join(parts.select("bucket", F.col("level").alias("level_b"), F.col("parts").alias("_b")), ["bucket", "level_b"])
-    own = F.col("level_a") == F.col("level_b")
-    near = near.filter(~own | (F.col("size") > 1)).withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
-    near = near.withColumn("part_b", F.explode(F.sequence(F.when(own, F.col("part_a")).otherwise(0), F.col("_b") - 1)))
-    near = near.select("bucket", "level_a", "level_b", "part_a", "part_b", (own & (F.col("part_a") == F.col("part_b"))).alias("same"))
+    blocks = written(placed.groupBy(*kind, part).agg(F.collect_list(F.struct("node", "n", "root", "tally")).alias("block")), "blocks")
+
+    near = parts.select("bucket", "size", F.col("level").alias("level_a"), F.col("own").alias("own_a"), F.col("parts").alias("_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level_b"))
+    near = near.join(parts.select("bucket", F.col("level").alias("level_b"), F.col("own").alias("own_b"), F.col("parts").alias("_b")), ["bucket", "level_b"])
+    level, one = F.col("level_a") == F.col("level_b"), F.col("own_a") == F.col("own_b")
+    near = near.filter(~(F.col("own_a") & F.col("own_b")) & (~level | F.col("own_b") | (one & (F.col("size") > 1))))
+    near = near.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
+    near = near.withColumn("part_b", F.explode(F.sequence(F.when(level & one, F.col("part_a")).otherwise(0), F.col("_b") - 1)))
+    near = near.select("bucket", *(f"{k}_{x}" for k in ("level", "own", "part") for x in "ab"), (level & one & (F.col("part_a") == F.col("part_b"))).alias("same"))
     for x in "ab":
-        near = near.join(blocks.select("bucket", F.col("level").alias(f"level_{x}"), F.col("part").alias(f"part_{x}"), F.col("block").alias(f"block_{x}")), ["bucket", f"level_{x}", f"part_{x}"])
+        side = blocks.select("bucket", *(F.col(k).alias(f"{k}_{x}") for k in ("level", "own", "part")), F.col("block").alias(f"block_{x}"))
+        near = near.join(side, ["bucket", *(f"{k}_{x}" for k in ("level", "own", "part"))])
 
     def block(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
         got = rows.values
@@ -400,7 +396,7 @@ def open_pairs(members: DataFrame, tallies: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for same, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                a, b = block_pairs(block(x), block(y), same)
+                a, b = block_pairs(block(x), block(y), same, low, high)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
@@ -421,6 +417,18 @@ def joined(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
     return written(further.unionByName(more.join(roots, "node", "left_anti").select("node", "root")), "roots")
 
 
+def mixed(members: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int, int]:
+    """The members (bucket, node, n, root, top) of buckets that are of two classes or more, how many they are, and how many pairs of two classes."""
+    if roots is not None:
+        members = members.drop("root").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
+        members = written(members, "labelled")
+    sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket")
+    sizes = sizes.agg(F.count("*").alias("classes"), F.sum("c").alias("size"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.max_by("root", F.struct("c", "root")).alias("top"))
+    sizes = written(sizes.filter("classes > 1"), "mixed")
+    size, left = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum((F.col("size").cast("double") * F.col("size") - F.col("own")) / 2), F.lit(0.0))).first()
+    return written(members.select("bucket", "node", "n", "root").join(sizes.select("bucket", "top"), "bucket"), "members"), size, int(left)
+
+
 def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     """(row, root) of every text with a word, written: equal root means one class.  What it took is deleted."""
     with scratch(rows.sparkSession) as scope:
@@ -430,41 +438,37 @@ def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
 def _text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     sketches = written(sketched(rows, row, text), "sketches")
     nodes = written(sketches.groupBy("key").agg(F.min("row").alias("node")), "nodes")
-    first = nodes.select("node")
-    members = sketches.select(F.col("row").alias("node"), "n", "buckets").join(first, "node", "left_semi").select("node", "n", F.posexplode("buckets").alias("band", "bucket"))
+    members = sketches.select(F.col("row").alias("node"), "n", "buckets").join(nodes.select("node"), "node", "left_semi")
+    members = members.select("node", "n", F.explode("buckets").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
-    # the bucket of a single mer stands at another place in every text, so its order follows from the bucket itself
-    order = F.when(F.col("band") < SKETCHES, F.col("band") % ORDERS).otherwise(F.pmod("bucket", F.lit(ORDERS))).cast("int")
-    members = written(members.join(shared, "bucket").select("bucket", "node", "n", order.alias("order")), "buckets")
-    words = sketches.select(F.col("row").alias("node"), "words")
-    tallies = among(sketches.select(F.col("row").alias("node"), "n", "tally"), members)
-
-    # every order elects its own leaders over the buckets of its bands; later turns over what is not yet one class
-    turn, roots, seen = 0, None, None
-    members = members.withColumn("root", F.col("node"))
-    while True:
-        pairs = leader_pairs(members, F.col("order") if not turn else F.explode(F.sequence(F.lit(ORDERS + LATER * turn), F.lit(ORDERS + LATER * (turn + 1) - 1))))
-        if turn:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        found = written(compared(written(plausible(pairs, tallies), "likely"), words), "links")
-        more = joined(roots, found)
+    members = written(members.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("root")), "buckets")
+    known = among(sketches.select(F.col("row").alias("node"), "n", "tally", "words"), members)
+    tallies, words = known.select("node", "n", "tally"), known.select("node", "words")
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        return joined(roots, written(compared(pairs, words), "links"))
+
+    roots, turn, before = None, 0, None
+    members, size, left = mixed(members, None)
+    while size:  # rounds of leaders, as long as each settles half of the pairs that are left
+        more = linked(written(plausible(written(leader_pairs(members, turn), "pairs"), tallies), "likely"))
+        turn, before = turn + 1, left
+        if more is None:
+            break
+        roots = more
+        members, size, left = mixed(members, roots)
+        if left <= DIRECT * size or 2 * left > before:
+            break
+    low, width = 0, 1
+    while size and low < SLOTS:  # all pairs that are left, in windows
+        pairs = written(open_pairs(members, tallies, low, low + width), "open")
+        n, low = pairs.count(), low + width
+        more = linked(pairs) if n else None
         if more is not None:
             roots = more
-            labelled = members.drop("root").join(roots, "node", "left").select("bucket", "node", "n", "order", F.coalesce("root", "node").alias("root"))
-            mixed = labelled.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("bucket")
-            members = written(labelled.join(mixed, "bucket"), "buckets")
-            sizes = members.groupBy("bucket", "root").agg(F.count("*").alias("c")).groupBy("bucket").agg(F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("own"))
-            size, left = sizes.agg(F.sum("c"), F.sum((F.col("c").cast("double") * F.col("c") - F.col("own")) / 2)).first()
-            turn += 1
-            if size and left > DIRECT * size:
-                continue
-        # whatever rounds there were, each pair of two classes that shares a bucket is now compared
-        pairs = open_pairs(members, tallies).join(seen, ["a", "b"], "left_anti")
-        more = joined(roots, written(compared(written(pairs, "likely"), words), "links"))
-        roots = roots if more is None else more
-        break
+            members, size, left = mixed(members, roots)
+        few = n * (SLOTS - low) <= FEW * size * width
+        width = SLOTS - low if few else min(low, SLOTS - low)
     named = nodes.select("key", "node") if roots is None else nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("node"))
     return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key").select("row", "root")
 
