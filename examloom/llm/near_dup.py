@@ -40,8 +40,8 @@ LONE = 36
 DIRECT = 64
 #: Members of a block, and the ratio of lengths that a level of blocks spans: beyond 1 / SIMILARITY, so links stay within neighbouring levels.
 BLOCK, LEVEL = 1024, 1.26
-#: Windows into which the pairs of blocks are dealt; all that are left come at once if they are so few for each member.
-SLOTS, FEW = 64, 4
+#: Slots into which the pairs of blocks are dealt; a window of them comes before all others as long as one pair in WORTH is a link.
+SLOTS, WORTH = 64, 16
 #: Links that one task contracts; more are first made fewer by all tasks.
 FINISH = 1 << 19
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -51,8 +51,8 @@ _WORDS_KNOWN = 1_000_000
 TALLY = 256
 #: Words of the runs that anchor a quick alignment.
 ANCHOR = 3
-#: Bits (their logarithm) of the bitmap that tells which texts are wanted: 2 MB in every task.
-FILTER_BITS = 24
+#: Bits (their logarithm) of the bitmap that tells which rows are wanted: 8 MB in every task.
+FILTER_BITS = 26
 
 
 def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -206,31 +206,29 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return at_most(a, b) <= most or edits(a, b, most) <= most
 
 
-def sketched(rows: DataFrame, row: str, text: str) -> DataFrame:
-    """(row, key, n, buckets, tally, words) of every text with a word; key tells equal texts, words are their codes."""
+def sketched(rows: DataFrame, row: str, text: str, *more: str) -> DataFrame:
+    """(row, more, key, n, buckets, tally, words) of every text; key tells equal texts, words are their codes, and all are null without a word."""
     bound_batches(rows.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
-        for b in batches:
-            ids, keys, ns, buckets, tallies, words = [], [], [], [], [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+        for batch in batches:
+            keys, ns, buckets, tallies, words = [], [], [], [], []
+            for t in batch.column(1).to_pylist():
                 data = (t or "").encode()
                 parts = data.split()
-                if not parts:
-                    continue
-                codes = word_codes(parts, known)
-                ids.append(i)
-                keys.append(hashlib.md5(data).digest())
-                ns.append(len(parts))
-                buckets.append(sketch(codes))
-                tallies.append(tally(codes))
-                words.append(codes.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(buckets, pa.list_(pa.int64())), pa.array(tallies, pa.binary()), pa.array(words, pa.binary())], ["row", "key", "n", "buckets", "tally", "words"]
-            )
-
-    return rows.select(F.col(row).alias("row"), text).mapInArrow(run, "row long, key binary, n int, buckets array<long>, tally binary, words binary")
+                codes = word_codes(parts, known) if parts else None
+                keys.append(hashlib.md5(data).digest() if parts else None)
+                ns.append(len(parts) if parts else None)
+                buckets.append(sketch(codes) if parts else None)
+                tallies.append(tally(codes) if parts else None)
+                words.append(codes.tobytes() if parts else None)
+            made = [pa.array(keys, pa.binary()), pa.array(ns, pa.int32()), pa.array(buckets, pa.list_(pa.int64())), pa.array(tallies, pa.binary()), pa.array(words, pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *made], ["row", *more, "key", "n", "buckets", "tally", "words"])
+
+    schema = ", ".join(["row long", *(f"`{m}` {kinds[m]}" for m in more), "key binary, n int, buckets array<long>, tally binary, words binary"])
+    return rows.select(F.col(row).alias("row"), text, *more).mapInArrow(run, schema)
 
 
 def plausible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
@@ -252,28 +250,30 @@ def plausible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(run, "a long, b long")
 
 
-def among(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` whose node is one of ``nodes``, written.
+def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` with ``_hit``: whether their key may be one of ``wanted``'s; false is certain.
 
-    A bitmap of hashed nodes goes to every task first (2 ** FILTER_BITS bits, whatever the input), so most rows that do not belong
-    never cross the network; the join that follows is exact.
+    A bitmap of hashed keys goes to every task (2 ** FILTER_BITS bits, whatever the input), so most rows that do not belong need not
+    cross the network; what hits is still to be joined.
     """
-    place = (F.pmod(F.xxhash64("node"), F.lit(1 << FILTER_BITS)) + 1).cast("long")
-    nodes = nodes.select("node").distinct()
-    # dealt by bucket first, so that each piece of the bitmap is built in one place and no partial ones travel
-    places = nodes.select(F.bitmap_bucket_number(place).alias("_bucket"), F.bitmap_bit_position(place).alias("_bit")).repartition("_bucket")
-    bits = places.groupBy("_bucket").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
+    place = (F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1).cast("long")
+    # dealt by piece first, so that each piece of the bitmap is built in one place and no partial ones travel
+    places = wanted.select(F.bitmap_bucket_number(place).alias("_piece"), F.bitmap_bit_position(place).alias("_bit")).distinct().repartition("_piece")
+    bits = places.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     position = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    has = F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1
-    likely = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_bucket").filter(has).drop("_bucket", "_bits")
-    # an inner join on distinct nodes: a semi-join would be moved below the bitmap and shuffle every row
-    return written(likely.join(nodes, "node"), "among")
+    has = F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1, F.lit(False))
+    return rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_piece", "left").withColumn("_hit", has).drop("_piece", "_bits")
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is none of ``wanted``'s."""
+    return marked(rows, wanted, key).filter("_hit").drop("_hit")
 
 
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words are similar; words: node, words."""
-    words = among(words, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    words = likely(words, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
     both = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,27 +365,16 @@ def block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool
 def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> DataFrame:
     """(a, b): the pairs of a bucket's members in slots low to high that are of two classes and may be linked, by their lengths and tallies.
 
-    Members (bucket, node, n, root, top: the largest class of the bucket) are dealt by hash into blocks of one level of lengths, those of
-    the largest class apart, and pairs of blocks into tasks; so a task holds two blocks however large a bucket is.
+    Members (bucket, node, n, root, crowd: members of the bucket, top: its largest class) of a bucket that fits in a block are one; others are dealt
+    by hash into blocks of one level of lengths, those of the largest class apart, and pairs of blocks into tasks; so a task holds two
+    blocks however large a bucket is.
     """
     bound_batches(members.sparkSession)
     kind = ["bucket", "level", "own"]
-    placed = members.select("bucket", "node", "n", "root", F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int").alias("level"), (F.col("root") == F.col("top")).alias("own"))
-    parts = written(placed.groupBy(*kind).agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "parts")
-    placed = placed.join(parts, kind).join(tallies.select("node", "tally"), "node")
-    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
-    blocks = written(placed.groupBy(*kind, part).agg(F.collect_list(F.struct("node", "n", "root", "tally")).alias("block")), "blocks")
-
-    near = parts.select("bucket", "size", F.col("level").alias("level_a"), F.col("own").alias("own_a"), F.col("parts").alias("_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level_b"))
-    near = near.join(parts.select("bucket", F.col("level").alias("level_b"), F.col("own").alias("own_b"), F.col("parts").alias("_b")), ["bucket", "level_b"])
-    level, one = F.col("level_a") == F.col("level_b"), F.col("own_a") == F.col("own_b")
-    near = near.filter(~(F.col("own_a") & F.col("own_b")) & (~level | F.col("own_b") | (one & (F.col("size") > 1))))
-    near = near.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
-    near = near.withColumn("part_b", F.explode(F.sequence(F.when(level & one, F.col("part_a")).otherwise(0), F.col("_b") - 1)))
-    near = near.select("bucket", *(f"{k}_{x}" for k in ("level", "own", "part") for x in "ab"), (level & one & (F.col("part_a") == F.col("part_b"))).alias("same"))
-    for x in "ab":
-        side = blocks.select("bucket", *(F.col(k).alias(f"{k}_{x}") for k in ("level", "own", "part")), F.col("block").alias(f"block_{x}"))
-        near = near.join(side, ["bucket", *(f"{k}_{x}" for k in ("level", "own", "part"))])
+    whole, level = F.col("crowd") <= BLOCK, F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int")
+    placed = members.select("bucket", "node", "n", "root", F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
+    placed = placed.join(tallies.select("node", "tally"), "node")
+    rows = F.collect_list(F.struct("node", "n", "root", "tally"))
 
     def block(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
         got = rows.values
@@ -395,12 +384,33 @@ def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for same, x, y in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
-                a, b = block_pairs(block(x), block(y), same, low, high)
+            for i in range(batch.num_rows):
+                x = block(batch.column(0)[i])
+                other = batch.column(1)[i] if batch.num_columns > 1 and batch.column(1)[i].is_valid else None  # none: the block with itself
+                a, b = block_pairs(x, x if other is None else block(other), other is None, low, high)
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
-    return near.select("same", "block_a", "block_b").mapInArrow(run, "a long, b long").distinct()
+    alone = placed.filter("level = -1").groupBy("bucket").agg(rows.alias("block")).select("block").mapInArrow(run, "a long, b long")
+
+    crowd = placed.filter("level <> -1")
+    parts = written(crowd.groupBy(*kind).agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "parts")
+    if parts.isEmpty():
+        return alone.distinct()
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
+    blocks = written(crowd.join(parts, kind).groupBy(*kind, part).agg(rows.alias("block")), "blocks")
+    near = parts.select("bucket", "size", F.col("level").alias("level_a"), F.col("own").alias("own_a"), F.col("parts").alias("_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level_b"))
+    near = near.join(parts.select("bucket", F.col("level").alias("level_b"), F.col("own").alias("own_b"), F.col("parts").alias("_b")), ["bucket", "level_b"])
+    level, one = F.col("level_a") == F.col("level_b"), F.col("own_a") == F.col("own_b")
+    near = near.filter(~(F.col("own_a") & F.col("own_b")) & (~level | F.col("own_b") | (one & (F.col("size") > 1))))
+    near = near.withColumn("part_a", F.explode(F.sequence(F.lit(0), F.col("_a") - 1)))
+    near = near.withColumn("part_b", F.explode(F.sequence(F.when(level & one, F.col("part_a")).otherwise(0), F.col("_b") - 1)))
+    near = near.select("bucket", *(f"{k}_{x}" for k in ("level", "own", "part") for x in "ab"), (level & one & (F.col("part_a") == F.col("part_b"))).alias("same"))
+    for x in "ab":
+        side = blocks.select("bucket", *(F.col(k).alias(f"{k}_{x}") for k in ("level", "own", "part")), F.col("block").alias(f"block_{x}"))
+        near = near.join(side, ["bucket", *(f"{k}_{x}" for k in ("level", "own", "part"))])
+    apart = near.select("block_a", F.when(~F.col("same"), F.col("block_b")).alias("block_b")).mapInArrow(run, "a long, b long")
+    return alone.unionByName(apart).distinct()
 
 
 def joined(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
@@ -418,7 +428,7 @@ def joined(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
 
 
 def mixed(members: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int, int]:
-    """The members (bucket, node, n, root, top) of buckets that are of two classes or more, how many they are, and how many pairs of two classes."""
+    """The members (bucket, node, n, root, crowd, top) of buckets that are of two classes or more, how many they are, and how many pairs of two classes."""
     if roots is not None:
         members = members.drop("root").join(roots, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
         members = written(members, "labelled")
@@ -426,32 +436,33 @@ def mixed(members: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, int,
     sizes = sizes.agg(F.count("*").alias("classes"), F.sum("c").alias("size"), F.sum(F.col("c").cast("double") * F.col("c")).alias("own"), F.max_by("root", F.struct("c", "root")).alias("top"))
     sizes = written(sizes.filter("classes > 1"), "mixed")
     size, left = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum((F.col("size").cast("double") * F.col("size") - F.col("own")) / 2), F.lit(0.0))).first()
-    return written(members.select("bucket", "node", "n", "root").join(sizes.select("bucket", "top"), "bucket"), "members"), size, int(left)
+    return written(members.select("bucket", "node", "n", "root").join(sizes.select("bucket", F.col("size").alias("crowd"), "top"), "bucket"), "members"), size, int(left)
 
 
-def text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
-    """(row, root) of every text with a word, written: equal root means one class.  What it took is deleted."""
-    with scratch(rows.sparkSession) as scope:
-        return scope.keep(written(_text_classes(rows, row, text), "classes"))
+def text_classes(sketches: DataFrame) -> DataFrame:
+    """(row, root) of every text with a word, written, from the written ``sketched``: equal root means one class.  What it took is deleted."""
+    with scratch(sketches.sparkSession) as scope:
+        return scope.keep(written(_text_classes(sketches.filter("n is not null")), "classes"))
 
 
-def _text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
-    sketches = written(sketched(rows, row, text), "sketches")
+def _text_classes(sketches: DataFrame) -> DataFrame:
     nodes = written(sketches.groupBy("key").agg(F.min("row").alias("node")), "nodes")
-    members = sketches.select(F.col("row").alias("node"), "n", "buckets").join(nodes.select("node"), "node", "left_semi")
-    members = members.select("node", "n", F.explode("buckets").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket")
-    members = written(members.join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("root")), "buckets")
-    known = among(sketches.select(F.col("row").alias("node"), "n", "tally", "words"), members)
+    # equal texts are the first of them: most rows are told by the bitmap of the others
+    again = written(sketches.select("key", "row").join(nodes, "key").filter("row <> node").select("row"), "again")
+    told = marked(sketches.select("row", "n", "buckets"), again, "row")
+    firsts = told.filter("not _hit").unionByName(told.filter("_hit").join(again, "row", "left_anti"))
+    members = firsts.select(F.col("row").alias("node"), "n", F.explode("buckets").alias("bucket"))
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("_n")).filter("_n > 1").select("bucket"), "shared")
+    members = written(likely(members, shared, "bucket").join(shared, "bucket").select("bucket", "node", "n", F.col("node").alias("root")), "buckets")
+    wanted = members.select("node").distinct()
+    known = written(likely(sketches.select(F.col("row").alias("node"), "n", "tally", "words"), wanted, "node").join(wanted, "node"), "known")
     tallies, words = known.select("node", "n", "tally"), known.select("node", "words")
 
-    def linked(pairs: DataFrame) -> DataFrame | None:
-        return joined(roots, written(compared(pairs, words), "links"))
-
     roots, turn, before = None, 0, None
     members, size, left = mixed(members, None)
     while size:  # rounds of leaders, as long as each settles half of the pairs that are left
-        more = linked(written(plausible(written(leader_pairs(members, turn), "pairs"), tallies), "likely"))
+        pairs = written(plausible(written(leader_pairs(members, turn), "pairs"), tallies), "likely")
+        more = joined(roots, written(compared(pairs, words), "links"))
         turn, before = turn + 1, left
         if more is None:
             break
@@ -462,23 +473,22 @@ def _text_classes(rows: DataFrame, row: str, text: str) -> DataFrame:
     low, width = 0, 1
     while size and low < SLOTS:  # all pairs that are left, in windows
         pairs = written(open_pairs(members, tallies, low, low + width), "open")
-        n, low = pairs.count(), low + width
-        more = linked(pairs) if n else None
+        found = written(compared(pairs, words), "links")
+        low, worth = low + width, WORTH * found.count() > pairs.count()
+        more = joined(roots, found)
         if more is not None:
             roots = more
             members, size, left = mixed(members, roots)
-        few = n * (SLOTS - low) <= FEW * size * width
-        width = SLOTS - low if few else min(low, SLOTS - low)
+        width = min(low, SLOTS - low) if worth else SLOTS - low
     named = nodes.select("key", "node") if roots is None else nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("node"))
     return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key").select("row", "root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id and class_id, the least doc_id of its class."""
-    rows = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "near-docs")
-    classes = text_classes(rows, "row", "text")
-    ids = rows.select("row", "doc_id")
-    whose = ids.join(classes, "row", "left")
+    rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
+    sketches = written(sketched(rows, "row", "text", "doc_id"), "sketches")
+    whose = sketches.select("row", "doc_id").join(text_classes(sketches), "row", "left")
     names = whose.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return whose.join(names, "root", "left").select("doc_id", F.when(F.col("root").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"))
 
@@ -487,7 +497,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The first document, by doc_id, of each class; texts without words all stay."""
     row, = fresh(docs, "_row")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    classes = text_classes(rows, row, "text")
+    with scratch(docs.sparkSession) as scope:
+        classes = scope.keep(text_classes(written(sketched(rows, row, "text"), "sketches")))
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
     first = rows.select(F.col(row).alias("row"), "doc_id").join(classes, "row").groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     gone = classes.join(first.filter("n > 1").select("root", F.col("first.row").alias("kept")), "root").filter("row <> kept")

@@ -174,7 +174,7 @@ def test_small_blocks_windows_and_finish_give_the_same_classes(spark, monkeypatc
     texts += [" ".join(base[:25] + [f"w{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     wide = {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()}
-    for name, small in (("BLOCK", 4), ("FINISH", 3), ("DIRECT", 0), ("FEW", 0)):
+    for name, small in (("BLOCK", 4), ("FINISH", 3), ("DIRECT", 0), ("WORTH", 10**9)):
         monkeypatch.setattr(nd, name, small)
     assert {r.doc_id: r.class_id for r in nd.near_duplicates(df).collect()} == wide
     want = classes_of(texts)
