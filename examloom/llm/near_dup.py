@@ -7,7 +7,7 @@ order, which follows edit similarity.  Short texts have few mers, so they also m
 
 In a bucket every text is first compared with one leader, so a crowd of copies costs what it has members, not pairs; linked
 classes are contracted, and leaders are elected anew while that settles much.  Then every pair of a bucket that is still of two
-classes is looked at, block by block, in windows that double: each pair belongs to one window, and only those still of
+classes is looked at, block by block, in windows that grow fourfold: each pair belongs to one window, and only those still of
 two classes when it comes are aligned.  So no pair that shares a bucket goes unseen, and no link between texts is lost.  The largest class of a
 bucket has blocks of its own, which are never paired with one another.
 
@@ -40,8 +40,8 @@ LONE = 36
 DIRECT = 64
 #: Members of a block, and the ratio of lengths that a level of blocks spans: beyond 1 / SIMILARITY, so links stay within neighbouring levels.
 BLOCK, LEVEL = 1024, 1.26
-#: Slots into which the pairs of blocks are dealt; a window of them comes before all others as long as one pair in WORTH is a link.
-SLOTS, WORTH = 64, 16
+#: Slots into which the pairs of blocks are dealt, and the pairs for each member that are so few that all left come at once.
+SLOTS, FEW = 64, 0.25
 #: Links that one task contracts; more are first made fewer by all tasks.
 FINISH = 1 << 19
 _ODD, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -258,7 +258,7 @@ def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """
     place = (F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1).cast("long")
     # dealt by piece first, so that each piece of the bitmap is built in one place and no partial ones travel
-    places = wanted.select(F.bitmap_bucket_number(place).alias("_piece"), F.bitmap_bit_position(place).alias("_bit")).distinct().repartition("_piece")
+    places = wanted.select(F.bitmap_bucket_number(place).alias("_piece"), F.bitmap_bit_position(place).alias("_bit")).repartition("_piece")
     bits = places.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
     position = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
@@ -460,7 +460,7 @@ def _text_classes(sketches: DataFrame) -> DataFrame:
 
     roots, turn, before = None, 0, None
     members, size, left = mixed(members, None)
-    while size:  # rounds of leaders, as long as each settles half of the pairs that are left
+    while size:  # rounds of leaders, as long as each settles three quarters of the pairs that are left
         pairs = written(plausible(written(leader_pairs(members, turn), "pairs"), tallies), "likely")
         more = joined(roots, written(compared(pairs, words), "links"))
         turn, before = turn + 1, left
@@ -468,18 +468,18 @@ def _text_classes(sketches: DataFrame) -> DataFrame:
             break
         roots = more
         members, size, left = mixed(members, roots)
-        if left <= DIRECT * size or 2 * left > before:
+        if left <= DIRECT * size or 4 * left > before:
             break
     low, width = 0, 1
     while size and low < SLOTS:  # all pairs that are left, in windows
         pairs = written(open_pairs(members, tallies, low, low + width), "open")
-        found = written(compared(pairs, words), "links")
-        low, worth = low + width, WORTH * found.count() > pairs.count()
-        more = joined(roots, found)
+        n, low = pairs.count(), low + width
+        more = joined(roots, written(compared(pairs, words), "links")) if n else None
         if more is not None:
             roots = more
             members, size, left = mixed(members, roots)
-        width = min(low, SLOTS - low) if worth else SLOTS - low
+        few = n * (SLOTS - low) <= FEW * size * width
+        width = SLOTS - low if few else min(3 * low, SLOTS - low)
     named = nodes.select("key", "node") if roots is None else nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("node"))
     return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key").select("row", "root")
 
