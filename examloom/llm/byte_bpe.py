@@ -1,9 +1,9 @@
 """Operator 5: byte-level BPE encoding and decoding.
 
 A pre-token is merged with a hierarchical-bitmap rank queue.  Each merge rank has a bucket of linked-list
-positions; three levels of 64-way bitmaps say which buckets hold any, and find-first-set walks them to the
-lowest rank.  Entries whose pair has changed since are stale and skipped.  A merge costs the
-same at any length, so a pre-token of millions of bytes stays near-linear.
+positions; two levels of 256-way bitmaps say which buckets hold any, and find-first-set walks them to the
+lowest rank, whose positions are taken from left to right.  Entries whose pair has changed since are stale and
+skipped.  A merge costs the same at any length, so a pre-token of millions of bytes stays near-linear.
 
 Text is cut where a token must begin anyway: before a single space between two non-blank characters.  Such
 chunks repeat, so their ids are kept in a bounded table per worker; every other text takes the whole
@@ -19,7 +19,6 @@ import base64
 import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 from itertools import chain
 from pathlib import Path
 
@@ -30,50 +29,10 @@ from pyspark.sql import DataFrame
 from .common import bound_batches, fresh
 
 #: Entries of each table of known chunks and pre-tokens, and the longest chunk kept.
-TABLE_ENTRIES = 400_000
+TABLE_ENTRIES = 600_000
 TABLE_CHARS = 48
-
-
-class RankQueue:
-    """Positions by rank; ``push`` and ``pop`` (lowest rank, then leftmost) touch three words of bits."""
-
-    def __init__(self, ranks: int):
-        self.low = [0] * ((ranks >> 6) + 1)
-        self.mid = [0] * ((ranks >> 12) + 1)
-        self.top = 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        got = self.buckets.get(rank)
-        if got is None:
-            self.buckets[rank] = [at]
-            a = rank >> 6
-            b = a >> 6
-            self.low[a] |= 1 << (rank & 63)
-            self.mid[b] |= 1 << (a & 63)
-            self.top |= 1 << b
-        else:
-            heappush(got, at)
-
-    def pop(self) -> tuple[int, int] | None:
-        top = self.top
-        if not top:
-            return None
-        b = (top & -top).bit_length() - 1
-        m = self.mid[b]
-        a = (b << 6) + (m & -m).bit_length() - 1
-        m = self.low[a]
-        rank = (a << 6) + (m & -m).bit_length() - 1
-        got = self.buckets[rank]
-        at = heappop(got)
-        if not got:
-            del self.buckets[rank]
-            self.low[a] = m & (m - 1)
-            if not self.low[a]:
-                self.mid[b] &= ~(1 << (a & 63))
-                if not self.mid[b]:
-                    self.top &= ~(1 << b)
-        return rank, at
+#: The single bits, for words of 256 and for the word that tells which of them have any.
+_BIT = [1 << i for i in range(4096)]
 
 
 class _Irregular(Exception):
@@ -104,48 +63,85 @@ class ByteBPE:
         self.vocab = {r: t for t, r in self.ranks.items()}
         self.names = {r: str(r) for r in self.vocab}
         self.find = regex.compile(pattern).findall
-        self.queue = RankQueue(max(self.vocab) + 1)
-        self.pieces = _Table(lambda piece: self.merge(piece.encode()), TABLE_ENTRIES)
+        self.words = [0] * ((max(self.vocab) >> 8) + 1)
+        self.pieces = _Table(lambda piece: self.merge(piece.encode()), TABLE_ENTRIES // 4)
         self.heads = _Table(self._head, TABLE_ENTRIES // 4)
         self.tails = _Table(self._tail, TABLE_ENTRIES)
 
     def merge(self, piece: bytes) -> tuple[int, ...]:
         """The ids of one pre-token."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
+        get, words = self.ranks.get, self.words
+        whole = get(piece)
         if whole is not None:
             return (whole,)
-        n, get, queue = len(piece), ranks.get, self.queue
-        pair = [get(piece[i : i + 2]) for i in range(n - 1)] + [None]
-        push, pop = queue.push, queue.pop
-        for i, r in enumerate(pair):
-            if r is not None:
-                push(r, i)
+        n, top, one = len(piece), 0, _BIT
+        buckets: dict[int, list[int]] = {}  # rank -> positions; a bit of ``words`` for each, a bit of ``top`` for each word
+        pair = [get(piece[i : i + 2]) for i in range(n - 1)]
+        pair.append(None)
+        for i, rank in enumerate(pair):
+            if rank is not None:
+                if rank in buckets:
+                    buckets[rank].append(i)
+                else:
+                    buckets[rank] = [i]
+                    words[rank >> 8] |= one[rank & 255]
+                    top |= one[rank >> 8]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        while (got := pop()) is not None:
-            rank, i = got
-            if pair[i] != rank:  # stale
-                continue
-            j = after[i]
-            k = after[j]
-            pair[j] = None
-            after[i] = k
-            if k < n:
-                before[k] = i
-                pair[i] = r = get(piece[i : after[k]])
-                if r is not None:
-                    push(r, i)
-            else:
-                pair[i] = None
-            h = before[i]
-            if h >= 0:
-                pair[h] = r = get(piece[h:k])
-                if r is not None:
-                    push(r, h)
+        while top:
+            w = (top & -top).bit_length() - 1
+            bits = words[w]
+            bit = (bits & -bits).bit_length() - 1
+            rank = w << 8 | bit
+            words[w] = bits = bits & (bits - 1)
+            if not bits:
+                top &= top - 1
+            at = buckets.pop(rank)
+            if len(at) > 1:
+                at.sort()
+            done = 0
+            for i in at:
+                done += 1
+                if pair[i] != rank:  # stale
+                    continue
+                j = after[i]
+                k = after[j]
+                pair[j] = None
+                after[i] = k
+                sooner = False
+                if k < n:
+                    before[k] = i
+                    pair[i] = new = get(piece[i : after[k]])
+                    if new is not None:
+                        if new in buckets:
+                            buckets[new].append(i)
+                        else:
+                            buckets[new] = [i]
+                            words[new >> 8] |= one[new & 255]
+                            top |= one[new >> 8]
+                        sooner = new <= rank
+                else:
+                    pair[i] = None
+                h = before[i]
+                if h >= 0:
+                    pair[h] = new = get(piece[h:k])
+                    if new is not None:
+                        if new in buckets:
+                            buckets[new].append(h)
+                        else:
+                            buckets[new] = [h]
+                            words[new >> 8] |= one[new & 255]
+                            top |= one[new >> 8]
+                        sooner = sooner or new <= rank
+                if sooner and done < len(at):  # what has come up goes before the rest of this bucket
+                    buckets.setdefault(rank, []).extend(at[done:])
+                    words[w] |= one[bit]
+                    top |= one[w]
+                    break
         out, i = [], 0
         while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            k = after[i]
+            out.append(get(piece[i:k]))
+            i = k
         return tuple(out)
 
     def _split(self, text: str) -> tuple[int, ...]:
@@ -159,7 +155,8 @@ class ByteBPE:
     def _tail(self, chunk: str) -> tuple[int, ...]:
         if not chunk or chunk[0].isspace() or chunk[-1].isspace():
             raise _Irregular
-        return self._split(" " + chunk)
+        pieces = self.find(" " + chunk)
+        return self.merge(pieces[0].encode()) if len(pieces) == 1 else tuple(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
@@ -185,18 +182,25 @@ def encoder(rank_file: str, pattern: str) -> ByteBPE:
     return ByteBPE(rank_file, pattern)
 
 
-def encode_column(docs: DataFrame, rank_file: str, pattern: str, column: str = "text", ids: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``column`` as an array; every other column as it was (a taken name gets an underscore)."""
+def encode_column(docs: DataFrame, rank_file: str, pattern: str, column: str = "text", ids: str = "ids", decodes: str | None = None) -> DataFrame:
+    """``docs`` with the ids of ``column`` as an array; every other column as it was (a taken name gets an underscore).
+
+    ``decodes`` names one more column: whether the ids decode to the bytes of the text.
+    """
     bound_batches(docs.sparkSession)
-    ids, = fresh(docs, ids)
+    made = fresh(docs, *(x for x in (ids, decodes) if x))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(rank_file, pattern)
         for b in batches:
-            got = pa.array([bpe.encode(t) for t in b.column(b.schema.get_field_index(column)).to_pylist()], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, got], [*b.schema.names, ids])
-
-    return docs.mapInArrow(run, _schema(docs) + f", `{ids}` array<int>")
+            texts = b.column(b.schema.get_field_index(column)).to_pylist()
+            got = [bpe.encode(t) for t in texts]
+            new = [pa.array(got, pa.list_(pa.int32()))]
+            if decodes:
+                new.append(pa.array([bpe.decode(x) == (t or "").encode() for x, t in zip(got, texts, strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *made])
+
+    return docs.mapInArrow(run, _schema(docs) + f", `{made[0]}` array<int>" + f", `{made[-1]}` boolean" * bool(decodes))
 
 
 def decode_column(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", data: str = "decoded") -> DataFrame:

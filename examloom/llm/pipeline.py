@@ -69,8 +69,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 @_stage
 def byte_level_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their ids, as the tokenizer and its decoder agree on them."""
-    return byte_bpe.encode_column(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Documents with their ids, and whether the ids decode to the bytes of the text."""
+    return byte_bpe.encode_column(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decodes="decodes")
 
 
 STAGES: list[tuple[str, Stage]] = [
