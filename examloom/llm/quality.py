@@ -5,7 +5,8 @@ the labelled holdout, for each stratum (language group) and rule, cutoffs are tr
 strictest is taken whose false rejection rate is shown to stay under the rule's share of the risk.  The proof is the
 exact binomial (Clopper-Pearson) upper bound; trying in a fixed order and stopping at the first failure keeps the
 level over all cutoffs of a rule, and the level is divided by the number of strata and rules (Bonferroni).
-So, with probability ``1 - DELTA``, no stratum loses more than ``ALPHA`` of its good texts to the rules.
+So, with probability ``1 - DELTA``, no stratum loses more than ``ALPHA`` of those good texts to the rules that pass the fixed base
+rules; what the base rules themselves reject is not part of the promise.
 
 Counts cover every labelled document; a stratum without enough good labels to prove anything gets no cutoff.
 
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, written
+from .common import bound_batches, fresh, written
 
 ALPHA, DELTA = 0.05, 0.05
 #: Languages with a stratum of their own; all others share one.
@@ -105,19 +106,23 @@ def counted(texts: list[str | None]) -> dict[str, np.ndarray]:
     return out
 
 
-def measured(docs: DataFrame, text: str, prefix: str = "") -> DataFrame:
-    """``docs`` with the counts of ``text``."""
+def measured(docs: DataFrame, text: str, names: tuple[str, ...] = COUNTS) -> DataFrame:
+    """``docs`` with the counts of ``text`` under ``names``, which no column has."""
     bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = counted(b.column(b.schema.get_field_index(text)).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[k], pa.int64()) for k in COUNTS)], [*b.schema.names, *(prefix + k for k in COUNTS)])
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(got[k], pa.int64()) for k in COUNTS)], [*b.schema.names, *names])
 
-    fields = [*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), *(f"`{prefix}{k}` long" for k in COUNTS)]
+    fields = [*("`" + f.name.replace("`", "``") + "` " + f.dataType.simpleString() for f in docs.schema.fields), *(f"`{k}` long" for k in names)]
     return docs.mapInArrow(run, ", ".join(fields))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def stratum(lang: Column) -> Column:
     return F.when(lang.isin(*STRATA), lang).otherwise("other")
 
@@ -188,7 +193,7 @@ def rejected(cuts: dict[tuple[str, str], float], lang: Column) -> Column:
     bad = F.lit(False)
     for (s, name), cut in sorted(cuts.items()):
         signal = next(F.expr(r.signal).cast("double") for r in RULES if r.name == name)
-        bad = bad | ((stratum(lang) == s) & (F.floor(F.least(signal, F.lit(1.0)) * BINS) >= F.lit(cut * BINS)))
+        bad = bad | ((stratum(lang) == s) & (F.floor(F.least(signal, F.lit(1.0)) * BINS) >= F.lit(round(cut * BINS))))
     return bad
 
 
@@ -202,7 +207,9 @@ def judge_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that no rule rejects, with the columns they had."""
-    got = written(measured(docs.select("doc_id", "lang", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")), "text").drop("text"), "quality")
+    names = tuple(fresh(docs, *(f"_{k}" for k in COUNTS)))
+    whole = F.struct(*(F.col(_quoted(c)) for c in docs.columns)).alias("_row")
+    got = written(measured(docs, "text", names), "quality").select("doc_id", "lang", whole, *(F.col(n).alias(k) for n, k in zip(names, COUNTS, strict=True)))
     cuts = learn(got.drop("_row"), labels)
     kept = got.filter(~base_failed() & ~rejected(cuts, F.col("lang")))
     return kept.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns))
