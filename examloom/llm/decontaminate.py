@@ -3,7 +3,9 @@
 An item of n characters that occurs in a text with at most e edits shares at least ``n - Q + 1 - Q * e`` q-grams with it,
 all on diagonals (place in the text less place in the item) that lie within e of each other.  So the shared q-grams of each
 item are counted in overlapping bands of diagonals, each twice as wide as a match can wander, and only bands
-that reach the bound are aligned: a banded dynamic programme, free at both ends of the text, finds the fewest edits.  The
+that reach the bound are aligned.  Counting is in chunks of PAIRS shared places, and a gram that items have at more than OFTEN places (a long
+run of one letter) is counted by blocks of places, which bounds its share of a band from above: its cost does not grow with
+places in the text times places in the items.  Aligning is a banded dynamic programme, free at both ends of the text, finds the fewest edits.  The
 budget e is RATE of the item's characters, less where the bound would fall below one q-gram.
 
 Text and items are compared in lower-case ASCII with every ASCII blank as a space, so places stay those of the text.  Items
@@ -26,7 +28,9 @@ from .common import bound_batches, fresh, written
 
 Q, RATE = 8, 0.1
 #: Characters of items that a task holds at once, and of text that it scans at once.
-ITEM_CHARS, SEGMENT = 8 << 20, 1 << 20
+ITEM_CHARS, SEGMENT = 2 << 20, 1 << 20
+#: Places of a gram in items from which it is counted by blocks, and pairs of places that are held at once.
+OFTEN, PAIRS = 64, 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
 
@@ -112,24 +116,66 @@ class Items:
         at, found = at[real], found[real]
         if not len(at):
             return []
-        n = self.count[found]
-        which = np.repeat(self.first[found] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-        item = self.item[which]
-        diagonal = np.repeat(at, n) - self.place[which]
+        often = self.count[found] > OFTEN
+        blocks = self._blocks(at[often], found[often])
+        at, found = at[~often], found[~often]
         # an item must reach its bound in all before its bands are counted
-        item_total = np.bincount(item, minlength=len(self.codes))
-        near = item_total[item] >= self.least[item]
-        item, diagonal = item[near], diagonal[near]
-        if not len(item):
-            return []
+        total = np.zeros(len(self.codes), np.int64)
+        for item, _, count in blocks:
+            total[item] += int(count.sum())
+        for item, _ in self._pairs(at, found):
+            total += np.bincount(item, minlength=len(total))
+        near = total >= self.least
         shift = int(self.sizes.max()) + 2 * int(self.step.max())
-        band = (diagonal + shift) // self.step[item]
-        key = np.concatenate([item << 40 | band, item << 40 | band - 1])  # bands overlap by half
-        key, count = np.unique(key, return_counts=True)
+        keys, counts = [], []
+        for item, diagonal in self._pairs(at, found) if near.any() else ():
+            item, diagonal = item[near[item]], diagonal[near[item]]
+            band = (diagonal + shift) // self.step[item]
+            key, count = np.unique(np.concatenate([item << 40 | band, item << 40 | band - 1]), return_counts=True)  # bands overlap by half
+            keys.append(key)
+            counts.append(count)
+        for item, apart, count in blocks:
+            if near[item]:  # blocks ``apart`` hold diagonals from apart - 1 to apart + 1 steps
+                base = apart + shift // int(self.step[item])
+                reach = np.concatenate([base + j for j in (-2, -1, 0, 1)])
+                keys.append(item << 40 | np.maximum(reach, 0))
+                counts.append(np.tile(count, 4))
+        if not keys:
+            return []
+        key, at = np.unique(np.concatenate(keys), return_inverse=True)
+        count = np.zeros(len(key), np.int64)
+        np.add.at(count, at, np.concatenate(counts))
         item, band = key >> 40, key & ((1 << 40) - 1)
         good = count >= self.least[item]
         return list(zip(item[good].tolist(), (band[good] * self.step[item[good]] - shift).tolist(), strict=True))
 
+    def _pairs(self, at: np.ndarray, found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(items, diagonals) of the places ``at`` whose grams are ``found``, some PAIRS at a time."""
+        chunk = (np.cumsum(self.count[found]) - 1) // PAIRS
+        edges = np.flatnonzero(np.diff(chunk, prepend=-1)).tolist() + [len(at)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            n = self.count[found[a:b]]
+            which = np.repeat(self.first[found[a:b]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            yield self.item[which], np.repeat(at[a:b], n) - self.place[which]
+
+    def _blocks(self, at: np.ndarray, found: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+        """(item, apart, count) of frequent grams: pairs of places whose blocks of a step each lie ``apart`` from one another."""
+        out = []
+        for gram in np.unique(found).tolist():
+            places = at[found == gram]
+            held = slice(int(self.first[gram]), int(self.first[gram] + self.count[gram]))
+            for item in np.unique(self.item[held]).tolist():
+                step = int(self.step[item])
+                x, n = np.unique(places // step, return_counts=True)
+                y, m = np.unique(self.place[held][self.item[held] == item] // step, return_counts=True)
+                low = int(x[0] - y[-1])
+                sums = np.zeros(int(x[-1] - y[0]) - low + 1, np.int64)
+                for k, c in zip(y.tolist(), m.tolist(), strict=True):
+                    sums[x - k - low] += n * c
+                apart = np.flatnonzero(sums)
+                out.append((item, apart + low, sums[apart]))
+        return out
+
     def search(self, text: str | None) -> list[tuple[int, int, int, int]]:
         """(item, start, end, edits) of the best occurrence of each item that occurs: fewest edits, then first."""
         if not text:
@@ -139,6 +185,8 @@ class Items:
         for start in range(0, max(1, len(whole) - overlap), SEGMENT):
             c = whole[start : start + SEGMENT + 2 * overlap]
             for k, low in self.candidates(c):
+                if k in best and not best[k][0]:  # none has fewer, and bands come in order
+                    continue
                 edits, end = fewest_edits(self.codes[k], c, low, low + 2 * int(self.step[k]) - 1, int(self.edits[k]))
                 if edits <= self.edits[k]:
                     got = (edits, start + end, start + low)

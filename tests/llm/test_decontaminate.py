@@ -91,3 +91,30 @@ def test_alignment_stays_in_its_band():
     assert dc.fewest_edits(item, text, 2, 4) == (0, 13)
     assert dc.fewest_edits(item, text, 8, 9)[0] > 0
     assert np.array_equal(dc.codes("A\tÉ"), dc.codes("a É"))
+
+
+def test_long_runs_of_one_letter_need_no_memory_for_their_pairs():
+    """Two million equal letters against an item of 5,000: some 10^10 pairs of places."""
+    import tracemalloc
+
+    its = dc.Items([(0, "a" * 5000), (1, "ab" * 2000), (2, "b" * 300 + "c" * 300)])
+    tracemalloc.start()
+    got = its.search("a" * 2_000_000)
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert got == [(0, 0, 5000, 0)] and peak < 500 << 20
+
+
+def test_frequent_grams_counted_by_blocks_find_what_plain_alignment_finds(monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(dc, "OFTEN", 3)
+    monkeypatch.setattr(dc, "PAIRS", 50)
+    items = ["a" * 40, "ab" * 30, "abc" * 15 + "d" * 30, "the quick brown fox jumps over the lazy dog again"]
+    its = dc.Items(list(enumerate(items)))
+    for _ in range(60):
+        it = rng.choice(items)
+        t = "".join(rng.choice("ab ") for _ in range(rng.randint(0, 50))) + edited(rng, it, rng.randint(0, 6)) + "a" * rng.randint(0, 60)
+        got = {k: n for k, _, _, n in its.search(t)}
+        for k, item in enumerate(items):
+            n = plain(item, t)
+            assert (got.get(k) == n) == (n <= dc.budget(len(item))), (item, t, n, got)
