@@ -17,12 +17,14 @@ BATCH_BYTES = 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` or, where unset (tests), a temporary one."""
+    """The folder all executors share: ``spark.checkpoint.dir`` or, where unset on a local master (tests), a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
         if got.isDefined():
             root = got.get()
+        elif not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         else:
             root = "file://" + tempfile.mkdtemp(prefix="examloom-")
             spark.sparkContext.setCheckpointDir(root)
