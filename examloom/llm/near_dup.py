@@ -7,7 +7,7 @@ order, which follows edit similarity.  Short texts have few mers, so they also m
 
 In a bucket every text is first compared with one leader, so a crowd of copies costs what it has members, not pairs; linked
 classes are contracted, and leaders are elected anew while that settles much.  Then every pair of a bucket that is still of two
-classes is looked at, block by block, in windows that grow fourfold: each pair belongs to one window, and only those still of
+classes is looked at, block by block, in windows that grow eightfold: each pair belongs to one window, and only those still of
 two classes when it comes are aligned.  So no pair that shares a bucket goes unseen, and no link between texts is lost.  The largest class of a
 bucket has blocks of its own, which are never paired with one another.
 
@@ -479,7 +479,7 @@ def _text_classes(sketches: DataFrame) -> DataFrame:
             roots = more
             members, size, left = mixed(members, roots)
         few = n * (SLOTS - low) <= FEW * size * width
-        width = SLOTS - low if few else min(3 * low, SLOTS - low)
+        width = SLOTS - low if few else min(7 * low, SLOTS - low)
     named = nodes.select("key", "node") if roots is None else nodes.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("node"))
     return sketches.select("row", "key").join(named.select("key", F.col("node").alias("root")), "key").select("row", "root")
 
