@@ -328,7 +328,7 @@ def run_style_asof(spark, sf_dir):
     return ordered.style_at(runs, segs.select("para_id", (F.col("text_start") + 5).alias("pos")).distinct())
 
 
-CATALOGS = {"template": "SELECT s_suppkey - 1 AS id, CAST(s_nationkey % 7 AS STRING) AS face, s_nationkey % 3 AS bold FROM supplier WHERE s_suppkey <= 20", "source": "SELECT p_partkey - 1 AS id, CAST(p_size % 11 AS STRING) AS face, p_partkey % 4 AS bold FROM part"}
+CATALOGS = {"template": "SELECT s_suppkey - 1 AS id, CAST(s_nationkey % 7 AS STRING) AS face, s_nationkey % 3 AS bold FROM supplier", "source": "SELECT p_partkey - 1 AS id, CAST(p_size % 11 AS STRING) AS face, p_partkey % 4 AS bold FROM part"}
 
 
 def _catalogs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
@@ -414,7 +414,7 @@ def border_islands(spark, sf_dir):
 
 
 PAGES = "SELECT c_custkey AS doc_id, n + 1 AS page, 6 AS last_page FROM customer CROSS JOIN (SELECT r_regionkey AS n FROM region UNION ALL SELECT 5) AS pages"
-MASTERS = "SELECT o_custkey AS doc_id, o_orderkey AS item, CASE o_orderkey % 4 WHEN 0 THEN 'odd' WHEN 1 THEN 'even' WHEN 2 THEN 'both' ELSE 'none' END AS apply, o_orderkey % 3 = 0 AS extension, CASE WHEN o_orderkey % 5 = 3 THEN o_orderkey % 7 END AS target, o_orderkey % 5 = 4 AS is_last FROM orders WHERE o_orderkey % 3 < 2"
+MASTERS = "SELECT o_custkey AS doc_id, o_orderkey AS item, CASE o_orderkey % 4 WHEN 0 THEN 'odd' WHEN 1 THEN 'even' WHEN 2 THEN 'both' ELSE 'none' END AS apply, o_orderkey % 3 = 0 AS extension, CASE WHEN o_orderkey % 5 = 3 THEN o_orderkey % 7 END AS target, o_orderkey % 5 = 4 AS is_last FROM orders"
 PARITY = "((apply = 'odd' AND page % 2 = 1) OR (apply = 'even' AND page % 2 = 0))"
 
 
@@ -543,10 +543,10 @@ def text_eq_marked(spark, sf_dir):
     return c.groupBy("doc_id").agg(segment.ordered_text(F.col("node_id"), piece).alias("text"))
 
 
-@query("SELECT table_id, cell_idx, coalesce('brand' || b.p_size, 'none') AS style FROM cells LEFT JOIN (SELECT p_partkey, p_size FROM part WHERE p_partkey BETWEEN 1 AND 15) b ON border_fill_id = p_partkey", "cells")
+@query("SELECT table_id, cell_idx, coalesce('brand' || b.p_size, 'none') AS style FROM cells LEFT JOIN (SELECT p_partkey, p_size FROM part) b ON border_fill_id = p_partkey", "cells")
 def border_styles(spark, sf_dir):
     cells = fixture(spark, sf_dir, "cells")
-    borders = spark.read.parquet(f"{sf_dir}/part.parquet").filter("p_partkey between 1 and 15").select(F.col("p_partkey").cast("int").alias("id"), F.concat(F.lit("brand"), F.col("p_size").cast("string")).alias("style"))
+    borders = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").cast("int").alias("id"), F.concat(F.lit("brand"), F.col("p_size").cast("string")).alias("style"))
     return lookup.resolve_borders(cells, borders)
 
 
@@ -633,7 +633,13 @@ def clean_set_headers(spark, sf_dir):
     return compose.clean_set_headers(fixture(spark, sf_dir, "paragraphs").select("doc_id", "section_idx", "para_idx", "text"))
 
 
-@query("SELECT l_orderkey AS line_id, greatest(CAST(l_quantity * 20 - l_partkey % 900 AS DOUBLE), 0) AS room FROM lineitem WHERE l_linenumber = 1")
+LINES = """SELECT l_orderkey * 10 + l_linenumber AS line_id, CASE l_partkey % 5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'center' WHEN 3 THEN 'justify' ELSE 'distribute' END AS align,
+  CAST(l_quantity * 20 AS DOUBLE) AS width, CAST(l_partkey % 900 AS DOUBLE) AS used, l_suppkey % 4 AS blanks, 1 + l_suppkey % 3 AS cells, l_linenumber % 3 = 0 AS is_last FROM lineitem"""
+
+
+@query(f"""SELECT line_id, CASE align WHEN 'right' THEN slack WHEN 'center' THEN slack / 2 ELSE CAST(0 AS DOUBLE) END AS room,
+  CASE WHEN align = 'justify' AND NOT is_last AND blanks > 0 THEN slack / blanks WHEN align = 'distribute' AND cells > 1 THEN slack / (cells - 1) ELSE CAST(0 AS DOUBLE) END AS gap
+FROM (SELECT *, greatest(width - used, CAST(0 AS DOUBLE)) AS slack FROM ({LINES}) AS l) AS s""")
 def line_room(spark, sf_dir):
-    p = _view(spark, sf_dir, "SELECT l_orderkey AS line_id, 'right' AS align, CAST(l_quantity * 20 AS DOUBLE) AS width, CAST(l_partkey % 900 AS DOUBLE) AS used, 3 AS blanks, 9 AS cells, FALSE AS is_last FROM lineitem WHERE l_linenumber = 1", "lineitem")
-    return layout.line_fill(p).select("line_id", F.col("lead").alias("room"))
+    p = _view(spark, sf_dir, LINES, "lineitem")
+    return layout.line_fill(p).select("line_id", F.col("lead").alias("room"), "gap")

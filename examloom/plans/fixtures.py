@@ -66,7 +66,7 @@ CTES: dict[str, str] = {
       CASE l_suppkey % 5 WHEN 0 THEN 'page' WHEN 1 THEN 'footnote' WHEN 2 THEN 'picture' WHEN 3 THEN 'table' ELSE 'equation' END AS number_type
     FROM lineitem JOIN orders ON l_orderkey = o_orderkey) AS placed""",
     "bin_data": """
-  SELECT p_partkey AS bin_id, CASE p_size % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' WHEN 2 THEN 'bmp' WHEN 3 THEN 'gif' ELSE 'wmf' END AS ext, p_name AS data, CASE WHEN p_size % 9 = 0 THEN 'Link' ELSE 'Embedding' END AS data_type FROM part WHERE p_partkey < 50""",
+  SELECT p_partkey * 2 AS bin_id, CASE p_size % 5 WHEN 0 THEN 'png' WHEN 1 THEN 'JPG' WHEN 2 THEN 'bmp' WHEN 3 THEN 'gif' ELSE 'wmf' END AS ext, p_name AS data, CASE WHEN p_size % 9 = 0 THEN 'Link' ELSE 'Embedding' END AS data_type FROM part""",
     "fields": """
   SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'ClickHere' WHEN 1 THEN 'Memo' ELSE 'Hyperlink' END AS kind,
     CASE WHEN event_id % 3 = 1 THEN 'MEMO/' || event_type || '/' || CAST(event_id AS STRING) || '/x'
