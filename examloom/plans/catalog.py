@@ -633,13 +633,13 @@ def clean_set_headers(spark, sf_dir):
     return compose.clean_set_headers(fixture(spark, sf_dir, "paragraphs").select("doc_id", "section_idx", "para_idx", "text"))
 
 
-LINES = """SELECT l_orderkey * 10 + l_linenumber AS line_id, CASE l_partkey % 5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'center' WHEN 3 THEN 'justify' ELSE 'distribute' END AS align,
+ALIGNED = """SELECT l_orderkey * 10 + l_linenumber AS line_id, CASE l_partkey % 5 WHEN 0 THEN 'left' WHEN 1 THEN 'right' WHEN 2 THEN 'center' WHEN 3 THEN 'justify' ELSE 'distribute' END AS align,
   CAST(l_quantity * 20 AS DOUBLE) AS width, CAST(l_partkey % 900 AS DOUBLE) AS used, l_suppkey % 4 AS blanks, 1 + l_suppkey % 3 AS cells, l_linenumber % 3 = 0 AS is_last FROM lineitem"""
 
 
 @query(f"""SELECT line_id, CASE align WHEN 'right' THEN slack WHEN 'center' THEN slack / 2 ELSE CAST(0 AS DOUBLE) END AS room,
   CASE WHEN align = 'justify' AND NOT is_last AND blanks > 0 THEN slack / blanks WHEN align = 'distribute' AND cells > 1 THEN slack / (cells - 1) ELSE CAST(0 AS DOUBLE) END AS gap
-FROM (SELECT *, greatest(width - used, CAST(0 AS DOUBLE)) AS slack FROM ({LINES}) AS l) AS s""")
+FROM (SELECT *, greatest(width - used, CAST(0 AS DOUBLE)) AS slack FROM ({ALIGNED}) AS l) AS s""")
 def line_room(spark, sf_dir):
-    p = _view(spark, sf_dir, LINES, "lineitem")
+    p = _view(spark, sf_dir, ALIGNED, "lineitem")
     return layout.line_fill(p).select("line_id", F.col("lead").alias("room"), "gap")
