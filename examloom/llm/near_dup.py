@@ -273,7 +273,8 @@ def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words are similar; words: node, words."""
-    words = likely(words, pairs.select(F.explode(F.array("a", "b")).alias("node")), "node")
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    words = likely(words, nodes, "node")
     both = pairs.join(words.select(F.col("node").alias("b"), F.col("words").alias("words_b")), "b").join(words.select(F.col("node").alias("a"), F.col("words").alias("words_a")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -367,14 +368,15 @@ def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> D
 
     Members (bucket, node, n, root, crowd: members of the bucket, top: its largest class) of a bucket that fits in a block are one; others are dealt
     by hash into blocks of one level of lengths, those of the largest class apart, and pairs of blocks into tasks; so a task holds two
-    blocks however large a bucket is.
+    blocks however large a bucket is.  Each member carries its buckets, and a pair is told by the least that both have, so it comes once.
     """
     bound_batches(members.sparkSession)
     kind = ["bucket", "level", "own"]
     whole, level = F.col("crowd") <= BLOCK, F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int")
     placed = members.select("bucket", "node", "n", "root", F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
-    placed = placed.join(tallies.select("node", "tally"), "node")
-    rows = F.collect_list(F.struct("node", "n", "root", "tally"))
+    buckets = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # a sketch's at most
+    placed = placed.join(buckets, "node").join(tallies.select("node", "tally"), "node")
+    rows = F.collect_list(F.struct("node", "n", "root", "tally", "buckets"))
 
     def block(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
         got = rows.values
@@ -382,21 +384,26 @@ def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> D
         counts = np.frombuffer(b"".join(tallies.to_pylist()), np.uint8).reshape(-1, TALLY)
         return node.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64), root.to_numpy(zero_copy_only=False), counts
 
+    def buckets_of(*blocks: pa.ListScalar) -> dict[int, set[int]]:
+        return {node: set(own) for rows in blocks for node, own in zip(rows.values.field(0).to_pylist(), rows.values.field(4).to_pylist(), strict=True)}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                x = block(batch.column(0)[i])
-                other = batch.column(1)[i] if batch.num_columns > 1 and batch.column(1)[i].is_valid else None  # none: the block with itself
-                a, b = block_pairs(x, x if other is None else block(other), other is None, low, high)
+                sides = [c[i] for c in batch.columns[1:] if c[i].is_valid]  # one: the block with itself
+                a, b = block_pairs(block(sides[0]), block(sides[-1]), len(sides) == 1, low, high)
                 if len(a):
+                    held, bucket = buckets_of(*sides), batch.column(0)[i].as_py()
+                    keep = np.array([min(held[x] & held[y]) == bucket for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                    a, b = a[keep], b[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
-    alone = placed.filter("level = -1").groupBy("bucket").agg(rows.alias("block")).select("block").mapInArrow(run, "a long, b long")
+    alone = placed.filter("level = -1").groupBy("bucket").agg(rows.alias("block")).select("bucket", "block").mapInArrow(run, "a long, b long")
 
     crowd = placed.filter("level <> -1")
     parts = written(crowd.groupBy(*kind).agg(F.count("*").alias("size")).withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")), "parts")
     if parts.isEmpty():
-        return alone.distinct()
+        return alone
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part")
     blocks = written(crowd.join(parts, kind).groupBy(*kind, part).agg(rows.alias("block")), "blocks")
     near = parts.select("bucket", "size", F.col("level").alias("level_a"), F.col("own").alias("own_a"), F.col("parts").alias("_a"), F.explode(F.array("level", F.col("level") + 1)).alias("level_b"))
@@ -409,8 +416,8 @@ def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> D
     for x in "ab":
         side = blocks.select("bucket", *(F.col(k).alias(f"{k}_{x}") for k in ("level", "own", "part")), F.col("block").alias(f"block_{x}"))
         near = near.join(side, ["bucket", *(f"{k}_{x}" for k in ("level", "own", "part"))])
-    apart = near.select("block_a", F.when(~F.col("same"), F.col("block_b")).alias("block_b")).mapInArrow(run, "a long, b long")
-    return alone.unionByName(apart).distinct()
+    apart = near.select("bucket", "block_a", F.when(~F.col("same"), F.col("block_b")).alias("block_b")).mapInArrow(run, "a long, b long")
+    return alone.unionByName(apart)
 
 
 def joined(roots: DataFrame | None, found: DataFrame) -> DataFrame | None:
