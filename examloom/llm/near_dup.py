@@ -373,9 +373,11 @@ def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> D
     bound_batches(members.sparkSession)
     kind = ["bucket", "level", "own"]
     whole, level = F.col("crowd") <= BLOCK, F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int")
-    placed = members.select("bucket", "node", "n", "root", F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
-    buckets = members.groupBy("node").agg(F.collect_set("bucket").alias("buckets"))  # a sketch's at most
-    placed = placed.join(buckets, "node").join(tallies.select("node", "tally"), "node")
+    # texts meet their tallies once, not once for each bucket; a text's buckets are a sketch's at most
+    texts = members.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
+    texts = texts.join(tallies.select("node", "tally"), "node").withColumn("bucket", F.explode("buckets"))
+    placed = texts.join(members.select("bucket", "crowd", "top").distinct(), "bucket")
+    placed = placed.select("bucket", "node", "n", "root", "tally", "buckets", F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
     rows = F.collect_list(F.struct("node", "n", "root", "tally", "buckets"))
 
     def block(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
