@@ -29,9 +29,9 @@ def split_papers(papers: DataFrame) -> DataFrame:
     inside = held.select(*key, F.explode(F.sequence("ctrl", "ctrl_end")).alias("node_id")).distinct()
     rows = part(papers, "paragraphs")
     names = [c for c in rows.columns if c != "doc_id"]
-    own = members.select(*key, F.col("node_id"), F.col("para_idx").alias("_idx"), F.col("ctrls").alias("_ctrls"), F.col("text").alias("_text"))
+    own = members.select(*key, F.col("node_id"), F.col("para_idx").alias("_idx"), "first_item", "last_item", F.col("text").alias("_text"))
     body = rows.join(own, ["doc_id", "node_id"])
-    kept = F.filter("items", lambda i: F.when(i["kind"] == "text", F.col("_text").contains(i["text"])).otherwise(F.array_contains("_ctrls", i["ctrl_node"])))
+    kept = F.filter("items", lambda i, at: (at >= F.col("first_item")) & (at <= F.col("last_item")))
     body = body.withColumn("items", kept).withColumn("text", F.col("_text")).withColumn("para_idx", F.col("_idx")).withColumn("container", F.lit("body")).withColumn("parent_node_id", F.lit(None).cast("long")).withColumn("section_idx", F.lit(0))
     nested = rows.join(inside, ["doc_id", "node_id"]).withColumn("section_idx", F.lit(0))
     every = body.select(*key, *names).unionByName(nested.select(*key, *names))
