@@ -68,6 +68,19 @@ def split_at(df: DataFrame, at: Column) -> DataFrame:
     return df.select(*keep, F.inline(halves))
 
 
+def merge(df: DataFrame, text: Column, offsets: Column, shapes: Column) -> DataFrame:
+    """``df`` with a second paragraph's text, offsets and runs put behind its own; an empty text changes nothing.
+
+    A run of the second goes if the run before it has its place and style.
+    """
+    end, own = end_units(F.col("text"), F.col("char_offsets")), F.size("char_shapes")
+    moved = F.transform(shapes, lambda c: F.struct((c["start_pos"] + end).cast("long").alias("start_pos"), c["char_shape_id"].alias("char_shape_id")))
+    made = df.withColumns({"_own": own, "_runs": F.concat("char_shapes", moved), "_offsets": F.concat("char_offsets", F.transform(offsets, lambda o: o + end)), "_text": F.concat("text", text), "_more": text != ""})
+    runs = F.filter("_runs", lambda c, i: (i < F.greatest(F.col("_own"), F.lit(1))) | (F.try_element_at("_runs", F.greatest(i, F.lit(1))) != c))
+    new = {"char_shapes": runs, "char_offsets": F.col("_offsets"), "text": F.col("_text")}
+    return made.select(*((F.when(F.col("_more"), new[c]).otherwise(F.col(c)) if c in new else F.col(c)).alias(c) for c in df.columns))
+
+
 def style_range(df: DataFrame, start: Column, stop: Column, shape: Column) -> DataFrame:
     """``df`` with characters ``start`` to ``stop`` in one style: runs inside go, and the old style comes back after it."""
     end = end_units(F.col("text"), F.col("char_offsets"))

@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def auto_numbers(controls: DataFrame) -> DataFrame:
+def auto_numbers(controls: DataFrame, starts: DataFrame | None = None) -> DataFrame:
     """(doc_id, node_id, number_type, assigned): a running counter for each kind, set by new-number controls.
 
     Reads kind (auto_number or new_number), number_type, new_number, in the order of node_id.  The sequence is cut at every
     new-number control; inside a piece the number is where the piece starts plus a row count.
+
+    ``starts`` (doc_id, node_id, number_type, new_number) are the start numbers of sections, at a node before all controls of the
+    section; each above 0 sets its counter as a new-number control does.
     """
-    numbered = controls.filter("kind in ('auto_number', 'new_number')")
+    numbered = controls.filter("kind in ('auto_number', 'new_number')").select("doc_id", "node_id", "kind", "number_type", "new_number")
+    if starts is not None:
+        numbered = numbered.unionByName(starts.filter("new_number > 0").select("doc_id", "node_id", F.lit("new_number").alias("kind"), "number_type", "new_number"))
     key = Window.partitionBy("doc_id", "number_type").orderBy("node_id").rowsBetween(Window.unboundedPreceding, 0)
     new = F.col("kind") == "new_number"
     df = numbered.withColumn("piece", F.sum(new.cast("int")).over(key)).withColumn("base", F.coalesce(F.last(F.when(new, F.col("new_number") - 1), ignorenulls=True).over(key), F.lit(0)))

@@ -2,7 +2,7 @@
 
 import pytest
 from examloom import api
-from examloom.operators import edit, layout
+from examloom.operators import edit, layout, ordered
 from examloom.sources import papers, sink
 from pyspark.sql import functions as F
 
@@ -73,6 +73,21 @@ def test_paragraph_edits(line):
     assert one(edit.style_range(line, F.lit(0), F.lit(5), F.lit(7))) == [("a\tb𝄞c", [0, 1, 9, 10, 12], [(0, 7)])]
 
 
+def test_merged_paragraphs(line):
+    other = F.lit("d𝄞"), F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))
+    runs = F.array(*(F.struct(F.lit(a).cast("long").alias("start_pos"), F.lit(b).cast("long").alias("char_shape_id")) for a, b in ((0, 4), (0, 4), (1, 3))))
+    assert one(edit.merge(line, *other, runs)) == [("a\tb𝄞cd𝄞", [0, 1, 9, 10, 12, 13, 14], [(0, 1), (9, 2), (12, 3), (13, 4), (14, 3)])]
+    assert one(edit.merge(line, F.lit(""), F.expr("cast(array() as array<bigint>)"), runs)) == one(line)
+
+
+def test_sections_set_auto_numbers(spark):
+    rows = [(1, 1, "auto_number", "table", None), (1, 3, "auto_number", "table", None), (1, 4, "auto_number", "page", None), (1, 5, "new_number", "table", 9), (1, 6, "auto_number", "table", None)]
+    controls = spark.createDataFrame(rows, "doc_id int, node_id int, kind string, number_type string, new_number int")
+    starts = spark.createDataFrame([(1, 2, "table", 5), (1, 2, "page", 0)], "doc_id int, node_id int, number_type string, new_number int")
+    assert [r.assigned for r in ordered.auto_numbers(controls, starts).orderBy("node_id").collect()] == [1, 5, 1, 9]
+    assert [r.assigned for r in ordered.auto_numbers(controls).orderBy("node_id").collect()] == [1, 2, 1, 9]
+
+
 def test_table_edits(spark):
     cells = spark.createDataFrame([(1, 0, 0, 2, 2, "A"), (1, 0, 2, 1, 1, "B")], "table_id int, cell_row long, cell_col long, row_span long, col_span long, text string")
     got = sorted(tuple(r)[1:] for r in edit.split_cell(cells, 0, 0, 2, 2).collect())
