@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import equation, latex
+from ..functions import equation, latex, spacing
 from ..functions import text as T
 from ..operators import compose, layout, lookup, ordered, segment, tables
 from . import packed, questions
@@ -643,3 +643,20 @@ FROM (SELECT *, greatest(width - used, CAST(0 AS DOUBLE)) AS slack FROM ({ALIGNE
 def line_room(spark, sf_dir):
     p = _view(spark, sf_dir, ALIGNED, "lineitem")
     return layout.line_fill(p).select("line_id", F.col("lead").alias("room"), "gap")
+
+
+ATOM_SIGNS = "".join(spacing.CLASSES.values()) + "ax1/|"
+ATOMS = f"""SELECT p_partkey AS atom_id, substr('{ATOM_SIGNS}', CAST(p_partkey % {len(ATOM_SIGNS)} AS INT) + 1, 1) || ' y' AS text,
+  'z ' || substr('{ATOM_SIGNS}', CAST(p_size * 7 % {len(ATOM_SIGNS)} AS INT) + 1, 1) AS before, 900 + p_size AS size FROM part"""
+
+
+def _class_sql(x: str) -> str:
+    return "CASE " + " ".join(f"WHEN strpos('{chars}', {x}) > 0 THEN {k}" for k, chars in spacing.CLASSES.items()) + " ELSE 1 END"
+
+
+@query(f"""SELECT atom_id, l AS left_class, t AS this_class, CAST(size AS DOUBLE) * (list_extract(list_extract({[list(r) for r in spacing.SPACING]}, l + 1), t + 1) * {spacing.UNIT}) / 100 AS space
+FROM (SELECT atom_id, size, {_class_sql("substr(before, 3, 1)")} AS l, {_class_sql("substr(text, 1, 1)")} AS t FROM ({ATOMS}) AS a) AS c""")
+def atom_spacing(spark, sf_dir):
+    atoms = _view(spark, sf_dir, ATOMS, "part")
+    left, this = spacing.edge_classes(F.col("before"))[1], spacing.edge_classes(F.col("text"))[0]
+    return atoms.select("atom_id", left.alias("left_class"), this.alias("this_class"), spacing.atom_space(left, this, F.col("size")).alias("space"))

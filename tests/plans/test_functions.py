@@ -1,7 +1,7 @@
 """Text rules, LaTeX and the equation grammar on hand-derived cases."""
 
 import pytest
-from examloom.functions import equation, latex
+from examloom.functions import equation, latex, spacing
 from examloom.functions import text as T
 from pyspark.sql import functions as F
 
@@ -30,6 +30,14 @@ def test_subjects(spark):
     assert [(r.t, r.got) for r in df.select("t", "s", T.subject(F.col("t")).alias("got")).collect()] == [(t, s) for t, s in rows]
 
 
+def test_atom_spaces(spark):
+    rows = spark.createDataFrame([("f", "("), ("a", " = "), ("+", "b"), ("  ", "x"), (None, "∑"), ("a )", "≤b")], "left string, this string")
+    left, this = spacing.edge_classes(F.col("left"))[1], spacing.edge_classes(F.col("this"))[0]
+    got = rows.select(left, this, spacing.atom_space(left, this, F.lit(1000))).collect()
+    assert [tuple(r) for r in got] == [(1, 5, 70.0), (1, 4, 210.0), (3, 1, 140.0), (1, 1, 0.0), (1, 2, 70.0), (6, 4, 210.0)]
+    assert rows.select(spacing.atom_space(F.lit(12), F.lit(1), F.lit(1000))).first()[0] == 0.0
+
+
 def test_list_numbers(spark):
     rows = [(1, 0, "1"), (20, 1, "⑳"), (21, 1, "21"), (4, 3, "iv"), (1994, 3, "mcmxciv"), (15, 8, "가"), (3, 8, "다"), (14, 9, "㉻"), (15, 9, "15"), (2, 10, "ㄴ"), (7, 99, "7")]
     df = spark.createDataFrame(rows, "n long, c int, s string")
