@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.papers import part
-from ..sources.schema import PARTS
+from ..sources.schema import CATALOGS, PARTS
 from .questions import stored, units
 
 
@@ -19,7 +19,7 @@ def split_papers(papers: DataFrame) -> DataFrame:
     """Rows like those of ``papers``, one per unit; path ends in ``_qNN`` by the unit's place, preview_text is its label.
 
     A paragraph cut at its block tables keeps the items of its slice; what is nested in them comes along.  Only data that the
-    unit's pictures name is kept.
+    unit's pictures name is kept, and no extra streams.
     """
     papers = stored(papers)
     members = stored(units(papers))
@@ -41,13 +41,13 @@ def split_papers(papers: DataFrame) -> DataFrame:
         cols = [c for c in table.columns if c != "doc_id"]
         out = out.join(table.join(inside, ["doc_id", "node_id"]).groupBy(*key).agg(_by_node(cols).alias(name)), key, "left")
     label = members.select(*key, "label").distinct()
-    rest = [c for c in papers.columns if c not in (*PARTS, "path", "preview_text", "section_count") or c in ("char_shapes", "para_shapes", "styles", "fonts", "bin_data")]
+    rest = [c for c in papers.columns if c not in (*PARTS, "path", "preview_text", "section_count") or c in (*CATALOGS, "bin_data")]
     out = out.join(label, key).join(papers.select(*rest, F.col("path").alias("_path")), "doc_id")
     types = {f.name: f.dataType for f in papers.schema.fields}
     place = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("unit_no"))
     out = out.withColumn("path", F.format_string("%s_q%02d", F.regexp_replace("_path", r"\.[^./]*$", ""), place))
     used = F.transform(F.filter("controls", lambda c: c["kind"] == "picture"), lambda c: c["bin_data_id"])
     out = out.withColumn("bin_data", F.filter("bin_data", lambda b: F.array_contains(F.coalesce(used, F.array().cast("array<int>")), b["bin_id"])))
-    out = out.withColumn("preview_text", F.col("label")).withColumn("section_count", F.lit(1)).withColumn("doc_id", F.md5(F.col("path").cast("binary")))
+    out = out.withColumn("preview_text", F.col("label")).withColumn("section_count", F.lit(1)).withColumn("extra_streams", F.lit(None)).withColumn("doc_id", F.md5(F.col("path").cast("binary")))
     return out.select(*((F.coalesce(F.col(n), F.array().cast(t)) if t.typeName() == "array" else F.col(n)).cast(t).alias(n) for n, t in types.items()), "label")
 
