@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import equation, latex, spacing
 from ..functions import text as T
-from ..operators import compose, layout, lookup, ordered, segment, tables
+from ..operators import compose, furniture, layout, lookup, ordered, segment, tables
 from . import packed, questions
 from .fixtures import fixture, with_fixtures
 
@@ -660,3 +660,77 @@ def atom_spacing(spark, sf_dir):
     atoms = _view(spark, sf_dir, ATOMS, "part")
     left, this = spacing.edge_classes(F.col("before"))[1], spacing.edge_classes(F.col("text"))[0]
     return atoms.select("atom_id", left.alias("left_class"), this.alias("this_class"), spacing.atom_space(left, this, F.col("size")).alias("space"))
+
+
+FURNITURE = """SELECT l_orderkey AS doc_id, 0 AS section_idx, 4 * n AS node_id, 4 * n + CASE WHEN n % 2 = 1 AND l_partkey % 4 = 0 THEN 7 ELSE 3 END AS end_node_id,
+  CASE l_suppkey % 5 WHEN 0 THEN 'endnote' WHEN 1 THEN 'footer' WHEN 2 THEN 'header' WHEN 3 THEN 'table' ELSE 'shape' END AS kind
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS n FROM lineitem) AS l"""
+HELD = f"""SELECT doc_id, node_id + 1 AS node_id, node_id AS parent_node_id, 0 AS para_idx FROM ({FURNITURE}) AS a
+UNION ALL SELECT doc_id, node_id + 2, node_id, 1 FROM ({FURNITURE}) AS b"""
+NESTED = f"""WITH ctl AS ({FURNITURE}), held AS ({HELD}),
+around AS (SELECT c.doc_id, c.node_id, bool_or(x.doc_id IS NOT NULL) AS inside, bool_or(coalesce(x.kind <> 'table', FALSE)) AS walled
+  FROM ctl c LEFT JOIN ctl x ON x.doc_id = c.doc_id AND x.node_id < c.node_id AND x.end_node_id >= c.node_id GROUP BY c.doc_id, c.node_id),
+placed AS (SELECT * FROM ctl JOIN around USING (doc_id, node_id))"""
+
+
+def _furniture(spark, sf_dir):
+    return _view(spark, sf_dir, FURNITURE, "lineitem"), _view(spark, sf_dir, HELD, "lineitem")
+
+
+@query(f"""{NESTED} SELECT doc_id, section_idx, held.node_id, kind, first + para_idx AS number
+FROM (SELECT *, CASE kind WHEN 'header' THEN 100000 ELSE 200000 END + 1000 * (row_number() OVER (PARTITION BY doc_id, kind ORDER BY node_id) - 1) AS first
+  FROM placed WHERE NOT inside AND kind IN ('header', 'footer')) AS f JOIN held USING (doc_id) WHERE held.parent_node_id = f.node_id""")
+def header_footers(spark, sf_dir):
+    return furniture.header_footers(*_furniture(spark, sf_dir))
+
+
+@query(f"""{NESTED} SELECT doc_id, section_idx, held.node_id, 399999 + row_number() OVER (PARTITION BY doc_id ORDER BY held.node_id) AS number
+FROM placed JOIN held USING (doc_id) WHERE held.parent_node_id = placed.node_id AND kind = 'endnote' AND NOT walled""")
+def endnotes(spark, sf_dir):
+    return furniture.endnotes(*_furniture(spark, sf_dir))
+
+
+@query(f"""{NESTED} SELECT doc_id, node_id, parent_node_id FROM held WHERE NOT EXISTS
+(SELECT 1 FROM placed f WHERE f.doc_id = held.doc_id AND f.kind = 'footer' AND NOT f.inside AND f.node_id < held.node_id AND f.end_node_id >= held.node_id)""")
+def cleared_footers(spark, sf_dir):
+    controls, held = _furniture(spark, sf_dir)
+    return furniture.without_footers(held, controls).select("doc_id", "node_id", "parent_node_id")
+
+
+@query("SELECT l_orderkey AS doc_id, l_linenumber AS node_id, l_partkey % 3 = 0 AS has_value, l_partkey % 3 = 0 AS has_unit FROM lineitem")
+def section_tab_stops(spark, sf_dir):
+    c = _view(spark, sf_dir, """SELECT l_orderkey AS doc_id, l_linenumber AS node_id, CASE WHEN l_partkey % 3 = 0 THEN 'page_hide' ELSE 'section_def' END AS kind,
+  CASE WHEN l_partkey % 3 = 0 OR l_suppkey % 2 = 1 THEN map('tabStop', '8', 'tabStopVal', '4000', 'tabStopUnit', 'U') ELSE map('tabStop', '8') END AS properties FROM lineitem""", "lineitem")
+    kept = furniture.without_tab_stop(c)
+    return kept.select("doc_id", "node_id", F.map_contains_key("properties", "tabStopVal").alias("has_value"), F.map_contains_key("properties", "tabStopUnit").alias("has_unit"))
+
+
+COLUMN_MARKS = """SELECT o_custkey AS doc_id, CAST(o_orderkey % 3 AS INT) AS section_idx, o_orderkey AS node_id, CAST(o_orderkey % 4 AS INT) AS count, o_orderkey % 5 <> 0 AS same_width,
+  CAST(o_orderkey % 900 AS INT) AS spacing, o_orderkey % 7 = 0 AS right_to_left FROM orders"""
+
+
+@query(f"SELECT doc_id, section_idx, greatest(count, 1) AS count, same_width, spacing, right_to_left FROM ({COLUMN_MARKS}) AS c QUALIFY row_number() OVER (PARTITION BY doc_id, section_idx ORDER BY node_id) = 1")
+def section_columns(spark, sf_dir):
+    return furniture.column_layout(_view(spark, sf_dir, COLUMN_MARKS, "orders"))
+
+
+SHAPES = "SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS id, CASE WHEN o_orderkey % 2 = 0 THEN 'number' ELSE 'none' END AS head_type FROM orders"
+COPIES = f"""shapes AS ({SHAPES}), sizes AS (SELECT doc_id, count(*) AS n FROM shapes GROUP BY doc_id),
+copies AS (SELECT doc_id, id, n + row_number() OVER (PARTITION BY doc_id ORDER BY first) - 1 AS copy
+  FROM (SELECT p.doc_id, s.id, min(p.section_idx * 4294967296 + p.para_idx) AS first FROM paragraphs p JOIN shapes s ON s.doc_id = p.doc_id AND s.id = p.para_shape_id
+    WHERE s.head_type = 'number' AND {qnum('text')} IS NOT NULL GROUP BY p.doc_id, s.id) AS f JOIN sizes USING (doc_id))"""
+
+
+def _unnumbered(spark, sf_dir):
+    p = fixture(spark, sf_dir, "paragraphs").select("doc_id", "section_idx", "para_idx", "text", "para_shape_id")
+    return furniture.without_numbering(p, _view(spark, sf_dir, SHAPES, "orders"), "section_idx", "para_idx")
+
+
+@query(f", {COPIES} SELECT p.doc_id, section_idx, para_idx, CASE WHEN {qnum('text')} IS NOT NULL THEN coalesce(copy, para_shape_id) ELSE para_shape_id END AS para_shape_id FROM paragraphs p LEFT JOIN copies c ON c.doc_id = p.doc_id AND c.id = p.para_shape_id", "paragraphs")
+def unnumbered_paragraphs(spark, sf_dir):
+    return _unnumbered(spark, sf_dir)[0].select("doc_id", "section_idx", "para_idx", "para_shape_id")
+
+
+@query(f", {COPIES} SELECT doc_id, id, head_type FROM shapes UNION ALL SELECT doc_id, copy, 'none' FROM copies", "paragraphs")
+def unnumbered_shapes(spark, sf_dir):
+    return _unnumbered(spark, sf_dir)[1]
