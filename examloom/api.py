@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import layout, lookup
+from .plans import preview
 from .plans import questions as plan
 from .plans.split import split_papers
 from .sources import papers as source
@@ -85,14 +86,13 @@ def prepare_fonts(papers: DataFrame, manifest: DataFrame, present: DataFrame) ->
 
 
 def export_preview(papers: DataFrame, folder: str, preview_type: str = "page", media: str = "svg") -> DataFrame:
-    """(doc_id, page, path): SVG pages of the papers' stored lines, written when the result is read; other media need a rasterizer."""
+    """(doc_id, page, path): SVG pages of the papers' stored lines, or an image a question, written when the result is read.
+
+    Other media need a rasterizer.
+    """
     if parse_media_type(media) != "svg":
         raise NotImplementedError("only SVG can be written here")
     kind = parse_preview_type(preview_type)
-    p = source.part(papers.filter("status = 'ok'"), "paragraphs").filter("container = 'body'")
-    lines = p.select("doc_id", "section_idx", "node_id", F.inline("line_segs"), "text")
-    lines = lines.withColumn("line", F.row_number().over(layout.reading_order()) - 1).withColumn("advance", F.col("text_height") + F.col("line_spacing"))
-    placed = layout.paginate_heuristic(lines, 1).select("doc_id", "line", "page")
-    ops = lines.join(placed, ["doc_id", "line"]).select("doc_id", "page", F.col("line").alias("seq"), F.lit("text").alias("kind"), F.col("column_start").alias("x"), F.col("vertical_pos").alias("y"), F.col("segment_width").alias("w"), F.col("line_height").alias("h"), F.when(F.col("text_start") == 0, F.col("text")).otherwise("").alias("text"))
-    pages = layout.page_svg(ops).withColumn("name", F.format_string("%s_%s%02d.svg", "doc_id", F.lit(kind[0]), F.col("page") + 1))
+    things = preview.page_things(papers) if kind == "page" else preview.question_things(papers)
+    pages = layout.page_svg(things).withColumn("name", F.format_string("%s_%s%02d.svg", "doc_id", F.lit(kind[0]), F.col("page") + 1))
     return sink.write_texts(pages, folder, "name", "svg")

@@ -43,17 +43,17 @@ def column_areas(sections: DataFrame) -> DataFrame:
     return df.select("section_id", column.cast("long").alias("column"), F.col("x").cast("long").alias("x"), w.cast("long").alias("width"))
 
 
-def paginate_heuristic(lines: DataFrame, columns: int) -> DataFrame:
-    """(doc_id, line, page, column): breaks recovered from stored tops, as windows.
+def paginate_heuristic(lines: DataFrame, columns: int | Column, *within: str) -> DataFrame:
+    """(doc_id, …, line, page, column): breaks recovered from stored tops, as windows.
 
     A line starts a new column where its top falls below the one before, or stays while that one has height and the line does not
-    move right.
+    move right.  Pages are counted in a document, or in each part of it that ``within`` names.
     """
-    order = Window.partitionBy("doc_id").orderBy("line")
+    order = Window.partitionBy("doc_id", *within).orderBy("line")
     top, start = F.lag("vertical_pos").over(order), F.lag("column_start").over(order)
     reset = (F.col("vertical_pos") < top) | ((F.col("vertical_pos") == top) & (F.col("column_start") <= start) & (F.lag("advance").over(order) > 0))
     df = lines.withColumn("_new", F.when(F.coalesce(reset, F.lit(False)), 1).otherwise(0)).withColumn("_col", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return df.select("doc_id", "line", F.floor(F.col("_col") / columns).alias("page"), (F.col("_col") % columns).alias("column"))
+    return df.select("doc_id", *within, "line", F.floor(F.col("_col") / columns).alias("page"), (F.col("_col") % columns).alias("column"))
 
 
 def paginate_greedy(blocks: DataFrame, body_height: int, columns: int) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from examloom import api
 from examloom.operators import edit, layout, ordered
+from examloom.plans import preview
 from examloom.sources import papers, sink
 from pyspark.sql import functions as F
 
@@ -45,6 +46,11 @@ def test_previews_and_fonts(spark, loaded, tmp_path):
     assert len(done) == 1 and done[0].path.endswith("_p01.svg")
     with open(done[0].path) as f:
         assert f.read().startswith("<svg") and not api.is_corrupt(loaded).first()["is_corrupt"]
+    things = {(r.page, r.text): (r.x, r.y) for r in preview.question_things(loaded).collect()}
+    first = next(y for (page, text), (_, y) in things.items() if page == 0 and text.startswith("1."))
+    assert {p for p, _ in things} == {0, 1} and first == preview.MARGIN and not any("고쳐" in t for _, t in things)
+    done = api.export_preview(loaded, f"file://{tmp_path}/q", "question").collect()
+    assert sorted(d.path[-8:] for d in done) == ["_q01.svg", "_q02.svg"]
     manifest = spark.createDataFrame([("Arial", "a.ttf")], "face string, file string")
     missing = api.prepare_fonts(loaded, manifest, manifest.select("file").limit(0)).collect()
     assert sorted(tuple(r) for r in missing) == [("Arial", "a.ttf"), ("함초롬바탕", "(미등록)")]
@@ -52,6 +58,27 @@ def test_previews_and_fonts(spark, loaded, tmp_path):
         api.export_preview(loaded, "x", media="png")
 
 
+def test_lines_have_their_share_of_the_text(spark, loaded):
+    segs = [make.LINE | {"text_start": s, "vertical_pos": y} for s, y in ((0, 0), (3, 10), (12, 20))]
+    text = "가나다\t라마바"  # the tab takes eight units, so the third line starts behind the first letter after it
+    row = make.paper()
+    row["paragraphs"][2] |= {"line_segs": segs, "text": text, "char_offsets": [0, 1, 2, 3, 11, 12, 13], "items": [{"kind": "text", "text": text, "ctrl_node": None}]}
+    df = spark.createDataFrame([{k: row.get(k) for k in loaded.columns}], loaded.schema)
+    got = preview.body_lines(df).filter(f"node_id = {row['paragraphs'][2]['node_id']}").orderBy("place").collect()
+    assert [(r.text, r.seg.vertical_pos) for r in got] == [("가나다", 0), ("\t라", 10), ("마바", 20)]
+
+
+def test_crops_stack_columns_and_keep_sets_by_page(spark):
+    rows = [
+        ("d", 1, "Q01", 0, 0, 0, "text", 100, 5000, 50, 10, "a"), ("d", 1, "Q01", 0, 0, 1, "text", 110, 5030, 50, 20, "b"), ("d", 1, "Q01", 0, 1, 2, "text", 900, 7, 50, 10, "c"),
+        ("d", 2, "S02-03", 0, 1, 3, "text", 900, 30, 50, 10, "e"), ("d", 2, "S02-03", 1, 0, 4, "text", 100, 0, 50, 10, "f"), ("d", 2, "S02-03", 1, 1, 5, "text", 900, 4, 50, 10, "g"),
+    ]
+    ops = spark.createDataFrame(rows, "doc_id string, unit_no long, label string, page long, column long, seq long, kind string, x long, y long, w long, h long, text string")
+    m = preview.MARGIN
+    got = {r.text: (r.page, r.x - m, r.y - m) for r in preview.crops(ops).collect()}
+    assert got == {"a": (0, 0, 0), "b": (0, 10, 30), "c": (0, 0, 50), "e": (1, 0, 0), "f": (2, 0, 0), "g": (2, 800, 4)}
+
+
 RUNS = "array<struct<start_pos:bigint,char_shape_id:bigint>>"
 
 
