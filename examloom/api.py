@@ -14,6 +14,7 @@ from .operators import layout, lookup
 from .plans import preview
 from .plans import questions as plan
 from .plans.split import split_papers
+from .session import stored
 from .sources import papers as source
 from .sources import sink
 
@@ -72,7 +73,7 @@ def split_set_to_question(papers: DataFrame) -> DataFrame:
 
 def extract_questions(papers: DataFrame) -> DataFrame:
     """(doc_id, unit_no, label, subject, text, images) of every paper that a subject and questions were found in."""
-    return plan.questions(plan.stored(papers))
+    return plan.questions(stored(papers))
 
 
 def is_corrupt(papers: DataFrame) -> DataFrame:

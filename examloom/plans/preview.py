@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import furniture, layout, segment
+from ..session import stored
 from ..sources.papers import part
-from .questions import flagged, stored, units
+from .questions import flagged, units
 
 #: Blank margin around a crop, in units of 1/7200 inch.
 MARGIN = 1800

@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.papers import part
+from ..session import stored
 from ..sources.schema import CATALOGS, PARTS
-from .questions import stored, units
+from .questions import units
 
 
 def _by_node(columns: list[str]) -> Column:
-    """Aggregate: rows of ``columns`` by node_id; the comparison reads nothing else, as maps have no order."""
-    return F.array_sort(F.collect_list(F.struct(*columns)), lambda a, b: F.when(a["node_id"] < b["node_id"], -1).when(a["node_id"] > b["node_id"], 1).otherwise(0))
+    """Aggregate: rows of ``columns`` by node, pieces of one paragraph by their place; the comparison reads nothing else, as maps have no order."""
+    keys = [k for k in ("node_id", "para_idx") if k in columns]
+
+    def compare(a: Column, b: Column) -> Column:
+        x, y = (F.struct(*(r[k].alias(k) for k in keys)) for r in (a, b))
+        return F.when(x < y, -1).when(x > y, 1).otherwise(0)
+
+    return F.array_sort(F.collect_list(F.struct(*columns)), compare)
 
 
 def split_papers(papers: DataFrame) -> DataFrame:
@@ -21,8 +28,8 @@ def split_papers(papers: DataFrame) -> DataFrame:
     A paragraph cut at its block tables keeps the items of its slice; what is nested in them comes along.  Only data that the
     unit's pictures name is kept, and no extra streams.
     """
-    papers = stored(papers)
-    members = stored(units(papers))
+    papers = stored(papers, "papers")
+    members = stored(units(papers), "members")
     key = ["doc_id", "unit_no"]
     hosts = part(papers, "controls").select("doc_id", F.col("node_id").alias("ctrl"), F.col("end_node_id").alias("ctrl_end"))
     held = members.select(*key, F.explode("ctrls").alias("ctrl")).join(hosts, ["doc_id", "ctrl"])
