@@ -49,6 +49,8 @@ _SEEDS = np.array([int.from_bytes(hashlib.blake2b(bytes([i]), digest_size=8).dig
 _WORDS_KNOWN = 1_000_000
 #: Classes of words in a tally: words that one text has too many of need an edit each, so tallies rule pairs out before words are fetched.
 TALLY = 256
+#: Classes of a fine tally, for members of buckets of more than CROWD: texts of many words differ too little in TALLY classes.
+FINE, CROWD = 4096, 64
 #: Words of the runs that anchor a quick alignment.
 ANCHOR = 3
 #: Bits (their logarithm) of the bitmap that tells which rows are wanted: 8 MB in every task.
@@ -157,9 +159,9 @@ def _banded(a: list[int], b: list[int], most: int) -> int:
     return count
 
 
-def tally(codes: np.ndarray) -> bytes:
-    """How many words fall in each of TALLY classes, 255 at most."""
-    return np.minimum(np.bincount(codes & np.uint32(TALLY - 1), minlength=TALLY), 255).astype(np.uint8).tobytes()
+def tally(codes: np.ndarray, classes: int = TALLY) -> bytes:
+    """How many words fall in each of the classes, 255 at most."""
+    return np.minimum(np.bincount(codes & np.uint32(classes - 1), minlength=classes), 255).astype(np.uint8).tobytes()
 
 
 def at_most(a: np.ndarray, b: np.ndarray) -> int:
@@ -338,10 +340,11 @@ def leader_pairs(members: DataFrame, turn: int) -> DataFrame:
 
 
 def block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of two blocks (node, n, root, tallies) in slots low to high that are of two classes and whose lengths and tallies leave a link possible."""
+    """The pairs of two blocks (node, n, root, tallies, fine tallies if known) in slots low to high that are of two classes and whose lengths and tallies leave a link possible."""
     with np.errstate(over="ignore"):
         h = [(t[0].astype(np.uint64) * _MUL ^ (t[0].astype(np.uint64) * _ODD >> np.uint64(31))) | np.uint64(1) for t in (x, y)]
-    sums = [t[3].sum(axis=1, dtype=np.int64) for t in (x, y)]
+    kinds = range(3, min(len(x), len(y)))
+    sums = {k: [t[k].sum(axis=1, dtype=np.int64) for t in (x, y)] for k in kinds}
     a, b = [], []
     for i in range(len(x[0])):
         at = slice(i + 1 if same else 0, None)
@@ -355,36 +358,59 @@ def block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool
         if not len(j):
             continue
         most, j = most[j], j + (i + 1 if same else 0)
-        common = np.minimum(x[3][i], y[3][j]).sum(axis=1, dtype=np.int64)
-        j = j[np.maximum(sums[0][i], sums[1][j]) - common <= most]
+        for k in kinds:
+            common = np.minimum(x[k][i], y[k][j]).sum(axis=1, dtype=np.int64)
+            keep = np.maximum(sums[k][0][i], sums[k][1][j]) - common <= most
+            most, j = most[keep], j[keep]
         a.append(np.full(len(j), x[0][i]))
         b.append(y[0][j])
     none = np.empty(0, np.int64)
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
-def open_pairs(members: DataFrame, tallies: DataFrame, low: int, high: int) -> DataFrame:
+def fine_tallies(members: DataFrame, words: DataFrame) -> DataFrame:
+    """(node, fine), written: what the fine tally of each member of a crowd is made from, its words or, if these are more than a tally takes, the tally."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got = [b"\1" + x if len(x) <= FINE else b"\0" + tally(np.frombuffer(x, np.uint32), FINE) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["node", "fine"])
+
+    crowd = members.filter(F.col("crowd") > CROWD).select("node").distinct()
+    return written(likely(words, crowd, "node").join(crowd, "node").select("node", "words").mapInArrow(run, "node long, fine binary"), "fine")
+
+
+def fine_tally(fine: bytes) -> bytes:
+    """The tally of FINE classes."""
+    return tally(np.frombuffer(fine[1:], np.uint32), FINE) if fine[0] else fine[1:]
+
+
+def open_pairs(members: DataFrame, tallies: DataFrame, fine: DataFrame, low: int, high: int) -> DataFrame:
     """(a, b): the pairs of a bucket's members in slots low to high that are of two classes and may be linked, by their lengths and tallies.
 
     Members (bucket, node, n, root, crowd: members of the bucket, top: its largest class) of a bucket that fits in a block are one; others are dealt
     by hash into blocks of one level of lengths, those of the largest class apart, and pairs of blocks into tasks; so a task holds two
-    blocks however large a bucket is.  Each member carries its buckets, and a pair is told by the least that both have, so it comes once.
+    blocks however large a bucket is.  Members of crowds are also told by their fine tallies (node, fine).  Each member carries its buckets, and a pair is told by the least that both have, so it comes once.
     """
     bound_batches(members.sparkSession)
     kind = ["bucket", "level", "own"]
     whole, level = F.col("crowd") <= BLOCK, F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int")
     # texts meet their tallies once, not once for each bucket; a text's buckets are a sketch's at most
     texts = members.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
-    texts = texts.join(tallies.select("node", "tally"), "node").withColumn("bucket", F.explode("buckets"))
+    texts = texts.join(tallies.select("node", "tally"), "node").join(fine, "node", "left").withColumn("bucket", F.explode("buckets"))
     placed = texts.join(members.select("bucket", "crowd", "top").distinct(), "bucket")
-    placed = placed.select("bucket", "node", "n", "root", "tally", "buckets", F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
-    rows = F.collect_list(F.struct("node", "n", "root", "tally", "buckets"))
+    finer = F.when(F.col("crowd") > CROWD, F.col("fine")).alias("fine")
+    placed = placed.select("bucket", "node", "n", "root", "tally", "buckets", finer, F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
+    rows = F.collect_list(F.struct("node", "n", "root", "tally", "buckets", "fine"))
 
     def block(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
         got = rows.values
         node, n, root, tallies = (got.field(i) for i in range(4))
         counts = np.frombuffer(b"".join(tallies.to_pylist()), np.uint8).reshape(-1, TALLY)
-        return node.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64), root.to_numpy(zero_copy_only=False), counts
+        out = node.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64), root.to_numpy(zero_copy_only=False), counts
+        if got.field(5).null_count:
+            return out
+        return *out, np.frombuffer(b"".join(map(fine_tally, got.field(5).to_pylist())), np.uint8).reshape(-1, FINE)
 
     def buckets_of(*blocks: pa.ListScalar) -> dict[int, set[int]]:
         return {node: set(own) for rows in blocks for node, own in zip(rows.values.field(0).to_pylist(), rows.values.field(4).to_pylist(), strict=True)}
@@ -479,9 +505,10 @@ def _text_classes(sketches: DataFrame) -> DataFrame:
         members, size, left = mixed(members, roots)
         if left <= DIRECT * size or 4 * left > before:
             break
-    low, width = 0, 1
+    low, width = 0, 8
+    fine = fine_tallies(members, words) if size else None
     while size and low < SLOTS:  # all pairs that are left, in windows
-        pairs = written(open_pairs(members, tallies, low, low + width), "open")
+        pairs = written(open_pairs(members, tallies, fine, low, low + width), "open")
         n, low = pairs.count(), low + width
         more = joined(roots, written(compared(pairs, words), "links")) if n else None
         if more is not None:
