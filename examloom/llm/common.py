@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 #: Rows and bytes of an Arrow batch handed to a Python worker.
 BATCH_ROWS = 1000
 BATCH_BYTES = 16 << 20
+#: Bits (their logarithm) of the bitmap that tells which rows are wanted: 8 MB in every task.
+FILTER_BITS = 26
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -122,3 +124,25 @@ def in_order(df: DataFrame, *order) -> DataFrame:
     got = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     got = got.withColumn("_part", F.shiftright("_id", 33).cast("int")).withColumn("_at", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
     return written(got.drop("_id"), "ordered")
+
+
+def marked(rows: DataFrame, wanted: DataFrame, key: str, hit: str = "_hit") -> DataFrame:
+    """``rows`` with ``hit``: whether their key may be one of ``wanted``'s; false is certain.
+
+    A bitmap of hashed keys goes to every task (2 ** FILTER_BITS bits, whatever the input), so most rows that do not belong need not
+    cross the network; what hits is still to be joined.
+    """
+    place = (F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1).cast("long")
+    piece, held = fresh(rows, "_piece", "_bits")
+    # dealt by piece first, so that each piece of the bitmap is built in one place and no partial ones travel
+    places = wanted.select(F.bitmap_bucket_number(place).alias(piece), F.bitmap_bit_position(place).alias("_bit")).repartition(piece)
+    bits = places.groupBy(piece).agg(F.bitmap_construct_agg("_bit").alias(held))
+    position = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(held, (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    has = F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1, F.lit(False))
+    return rows.withColumn(piece, F.bitmap_bucket_number(place)).join(F.broadcast(bits), piece, "left").withColumn(hit, has).drop(piece, held)
+
+
+def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """``rows`` without most of those whose key is none of ``wanted``'s."""
+    return marked(rows, wanted, key).filter("_hit").drop("_hit")

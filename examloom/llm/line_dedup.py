@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, in_order, written
+from .common import fresh, in_order, marked, written
 
 MIN_WORDS = 50
 #: Bits of a place that count lines of a document: more lines than an array can have.
@@ -100,12 +100,16 @@ def cut_lines(found: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """``docs`` with later copies of repeated runs gone from ``text``, and two counts: lines before, lines deleted."""
-    row, cuts, lines = fresh(docs, "_row", "_cuts", "_lines")
+    row, cuts, lines, hit = fresh(docs, "_row", "_cuts", "_lines", "_hit")
     rows = written(docs.withColumn(row, F.monotonically_increasing_id()), "line-docs")
     order = written(document_order(rows, row, doc_id), "line-order")
     table = written(line_table(rows, order, row, text), "line-table")
-    gone = cut_lines(repeated_runs(table, min_words)).join(order, "doc").select(row, F.col("cuts").alias(cuts))
-    out = rows.join(gone.hint("shuffle_hash"), row, "left").withColumn(lines, F.split(F.col(text), "\n"))
+    gone = written(cut_lines(repeated_runs(table, min_words)).join(order, "doc").select(row, F.col("cuts").alias(cuts)), "line-cuts")
+    # only texts that may lose lines cross the network; the others are told by a bitmap
+    told = marked(rows, gone, row, hit)
+    cut = told.filter(F.col(hit)).drop(hit).join(gone.hint("shuffle_hash"), row, "left")
+    whole = told.filter(~F.col(hit)).drop(hit).withColumn(cuts, F.lit(None).cast(gone.schema[cuts].dataType))
+    out = cut.unionByName(whole).withColumn(lines, F.split(F.col(text), "\n"))
     ends = F.concat(F.transform(cuts, lambda c: c["a"]), F.array(F.size(lines)))
     starts = F.concat(F.array(F.lit(0)), F.transform(cuts, lambda c: c["b"] + 1))
     kept = F.flatten(F.transform(F.arrays_zip(starts.alias("s"), ends.alias("e")), lambda g: F.slice(F.col(lines), g["s"] + 1, g["e"] - g["s"])))

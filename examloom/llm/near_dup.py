@@ -7,8 +7,8 @@ order, which follows edit similarity.  Short texts have few mers, so they also m
 
 In a bucket every text is first compared with one leader, so a crowd of copies costs what it has members, not pairs; linked
 classes are contracted, and leaders are elected anew while that settles much.  Then every pair of a bucket that is still of two
-classes is looked at, block by block, in windows that grow eightfold: each pair belongs to one window, and only those still of
-two classes when it comes are aligned.  So no pair that shares a bucket goes unseen, and no link between texts is lost.  The largest class of a
+classes is looked at: those of small buckets at once, others block by block, in windows that grow eightfold: each pair belongs to one
+window, and only those still of two classes when it comes are aligned.  So no pair that shares a bucket goes unseen, and no link between texts is lost.  The largest class of a
 bucket has blocks of its own, which are never paired with one another.
 
 A pair is linked if a banded alignment over words finds at least SIMILARITY of one less edits over the longer length.  Pairs that
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, fresh, scratch, written
+from .common import bound_batches, fresh, likely, marked, scratch, written
 
 K, ORDERS, PICKS, SIMILARITY = 5, 8, 4, 0.8
 #: Mers up to which a text meets by every single one; beyond, their number falls with the square of the length.
@@ -51,10 +51,10 @@ _WORDS_KNOWN = 1_000_000
 TALLY = 256
 #: Classes of a fine tally, for members of buckets of more than CROWD: texts of many words differ too little in TALLY classes.
 FINE, CROWD = 4096, 64
+#: Members of a bucket up to which all its pairs come at once and meet their tallies later; they are fewer bytes than the members' tallies.
+LISTED = 16
 #: Words of the runs that anchor a quick alignment.
 ANCHOR = 3
-#: Bits (their logarithm) of the bitmap that tells which rows are wanted: 8 MB in every task.
-FILTER_BITS = 26
 
 
 def word_codes(words: list[bytes], known: dict[bytes, int]) -> np.ndarray:
@@ -252,27 +252,6 @@ def plausible(pairs: DataFrame, tallies: DataFrame) -> DataFrame:
     return both.select("a", "b", "n_a", "n_b", "tally_a", "tally_b").mapInArrow(run, "a long, b long")
 
 
-def marked(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` with ``_hit``: whether their key may be one of ``wanted``'s; false is certain.
-
-    A bitmap of hashed keys goes to every task (2 ** FILTER_BITS bits, whatever the input), so most rows that do not belong need not
-    cross the network; what hits is still to be joined.
-    """
-    place = (F.pmod(F.xxhash64(key), F.lit(1 << FILTER_BITS)) + 1).cast("long")
-    # dealt by piece first, so that each piece of the bitmap is built in one place and no partial ones travel
-    places = wanted.select(F.bitmap_bucket_number(place).alias("_piece"), F.bitmap_bit_position(place).alias("_bit")).repartition("_piece")
-    bits = places.groupBy("_piece").agg(F.bitmap_construct_agg("_bit").alias("_bits"))
-    position = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(position / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    has = F.coalesce(F.floor(byte / F.pow(F.lit(2), position % 8)) % 2 == 1, F.lit(False))
-    return rows.withColumn("_piece", F.bitmap_bucket_number(place)).join(F.broadcast(bits), "_piece", "left").withColumn("_hit", has).drop("_piece", "_bits")
-
-
-def likely(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """``rows`` without most of those whose key is none of ``wanted``'s."""
-    return marked(rows, wanted, key).filter("_hit").drop("_hit")
-
-
 def compared(pairs: DataFrame, words: DataFrame) -> DataFrame:
     """The pairs (a, b) whose words are similar; words: node, words."""
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
@@ -368,12 +347,23 @@ def block_pairs(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...], same: bool
     return np.concatenate([none, *a]), np.concatenate([none, *b])
 
 
+def class_gaps(codes: np.ndarray) -> bytes:
+    """The FINE classes of the words in order, each as the gap from the one before: a byte, after one of 255 for each 255 in it.  A tally if that is shorter."""
+    gaps = np.diff(np.sort(codes & np.uint32(FINE - 1)).astype(np.int64), prepend=0)
+    ends = np.cumsum(gaps // 255 + 1)
+    if not len(ends) or ends[-1] > FINE:
+        return b"\0" + tally(codes, FINE)
+    out = np.full(ends[-1], 255, np.uint8)
+    out[ends - 1] = gaps % 255
+    return b"\2" + out.tobytes()
+
+
 def fine_tallies(members: DataFrame, words: DataFrame) -> DataFrame:
-    """(node, fine), written: what the fine tally of each member of a crowd is made from, its words or, if these are more than a tally takes, the tally."""
+    """(node, fine), written: what the fine tally of each member of a crowd is made from, the gaps of its words' classes or, if these are more than a tally takes, the tally."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = [b"\1" + x if len(x) <= FINE else b"\0" + tally(np.frombuffer(x, np.uint32), FINE) for x in batch.column(1).to_pylist()]
+            got = [class_gaps(np.frombuffer(x, np.uint32)) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], ["node", "fine"])
 
     crowd = members.filter(F.col("crowd") > CROWD).select("node").distinct()
@@ -381,36 +371,61 @@ def fine_tallies(members: DataFrame, words: DataFrame) -> DataFrame:
 
 
 def fine_tally(fine: bytes) -> bytes:
-    """The tally of FINE classes."""
+    """The tally of FINE classes, from gaps (2), words (1) or itself (0)."""
+    if fine[0] == 2:
+        steps = np.frombuffer(fine, np.uint8, offset=1)
+        return tally(np.cumsum(steps, dtype=np.uint32)[steps < 255], FINE)
     return tally(np.frombuffer(fine[1:], np.uint32), FINE) if fine[0] else fine[1:]
 
 
+def coarse_tallies(fine: np.ndarray) -> np.ndarray:
+    """The tallies of TALLY classes of rows of FINE ones."""
+    return np.minimum(fine.reshape(-1, FINE // TALLY, TALLY).sum(axis=1, dtype=np.uint16), 255).astype(np.uint8)
+
+
+def listed_pairs(members: DataFrame, tallies: DataFrame) -> DataFrame:
+    """(a, b): the pairs of members of buckets of at most LISTED that are of two classes and may be linked, by their lengths and tallies, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in batch.column(0):
+                x = tuple(rows.values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                a, b = block_pairs(x, x, True, 0, SLOTS)
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
+
+    few = members.filter(F.col("crowd") <= LISTED).groupBy("bucket").agg(F.collect_list(F.struct("node", "n", "root")).alias("block"))
+    return plausible(written(few.select("block").mapInArrow(run, "a long, b long").distinct(), "listed"), tallies)
+
+
 def open_pairs(members: DataFrame, tallies: DataFrame, fine: DataFrame, low: int, high: int) -> DataFrame:
-    """(a, b): the pairs of a bucket's members in slots low to high that are of two classes and may be linked, by their lengths and tallies.
+    """(a, b): the pairs of members of a bucket of more than LISTED, in slots low to high, that are of two classes and may be linked, by their lengths and tallies.
 
     Members (bucket, node, n, root, crowd: members of the bucket, top: its largest class) of a bucket that fits in a block are one; others are dealt
     by hash into blocks of one level of lengths, those of the largest class apart, and pairs of blocks into tasks; so a task holds two
-    blocks however large a bucket is.  Members of crowds are also told by their fine tallies (node, fine).  Each member carries its buckets, and a pair is told by the least that both have, so it comes once.
+    blocks however large a bucket is.  Members of crowds are told by their fine tallies (node, fine) too, and bring no others.  Each member carries its lesser buckets, and a pair is told by the least that both have, so it comes once.
     """
     bound_batches(members.sparkSession)
     kind = ["bucket", "level", "own"]
     whole, level = F.col("crowd") <= BLOCK, F.floor(F.log("n") / F.log(F.lit(LEVEL))).cast("int")
     # texts meet their tallies once, not once for each bucket; a text's buckets are a sketch's at most
+    members = members.filter(F.col("crowd") > LISTED)
     texts = members.groupBy("node").agg(F.first("n").alias("n"), F.first("root").alias("root"), F.collect_set("bucket").alias("buckets"))
     texts = texts.join(tallies.select("node", "tally"), "node").join(fine, "node", "left").withColumn("bucket", F.explode("buckets"))
     placed = texts.join(members.select("bucket", "crowd", "top").distinct(), "bucket")
     finer = F.when(F.col("crowd") > CROWD, F.col("fine")).alias("fine")
-    placed = placed.select("bucket", "node", "n", "root", "tally", "buckets", finer, F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
+    lesser = F.filter("buckets", lambda b: b < F.col("bucket")).alias("buckets")
+    placed = placed.select("bucket", "node", "n", "root", F.when(finer.isNull(), F.col("tally")).alias("tally"), lesser, finer, F.when(whole, -1).otherwise(level).alias("level"), (~whole & (F.col("root") == F.col("top"))).alias("own"))
     rows = F.collect_list(F.struct("node", "n", "root", "tally", "buckets", "fine"))
 
     def block(rows: pa.ListScalar) -> tuple[np.ndarray, ...]:
         got = rows.values
         node, n, root, tallies = (got.field(i) for i in range(4))
-        counts = np.frombuffer(b"".join(tallies.to_pylist()), np.uint8).reshape(-1, TALLY)
-        out = node.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64), root.to_numpy(zero_copy_only=False), counts
+        out = node.to_numpy(zero_copy_only=False), n.to_numpy(zero_copy_only=False).astype(np.int64), root.to_numpy(zero_copy_only=False)
         if got.field(5).null_count:
-            return out
-        return *out, np.frombuffer(b"".join(map(fine_tally, got.field(5).to_pylist())), np.uint8).reshape(-1, FINE)
+            return *out, np.frombuffer(b"".join(tallies.to_pylist()), np.uint8).reshape(-1, TALLY)
+        counts = np.frombuffer(b"".join(map(fine_tally, got.field(5).to_pylist())), np.uint8).reshape(-1, FINE)
+        return *out, coarse_tallies(counts), counts
 
     def buckets_of(*blocks: pa.ListScalar) -> dict[int, set[int]]:
         return {node: set(own) for rows in blocks for node, own in zip(rows.values.field(0).to_pylist(), rows.values.field(4).to_pylist(), strict=True)}
@@ -421,8 +436,8 @@ def open_pairs(members: DataFrame, tallies: DataFrame, fine: DataFrame, low: int
                 sides = [c[i] for c in batch.columns[1:] if c[i].is_valid]  # one: the block with itself
                 a, b = block_pairs(block(sides[0]), block(sides[-1]), len(sides) == 1, low, high)
                 if len(a):
-                    held, bucket = buckets_of(*sides), batch.column(0)[i].as_py()
-                    keep = np.array([min(held[x] & held[y]) == bucket for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                    held = buckets_of(*sides)
+                    keep = np.array([held[x].isdisjoint(held[y]) for x, y in zip(a.tolist(), b.tolist(), strict=True)])
                     a, b = a[keep], b[keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], ["a", "b"])
 
@@ -508,7 +523,8 @@ def _text_classes(sketches: DataFrame) -> DataFrame:
     low, width = 0, 8
     fine = fine_tallies(members, words) if size else None
     while size and low < SLOTS:  # all pairs that are left, in windows
-        pairs = written(open_pairs(members, tallies, fine, low, low + width), "open")
+        pairs = open_pairs(members, tallies, fine, low, low + width)
+        pairs = written(pairs if low else pairs.unionByName(listed_pairs(members, tallies)).distinct(), "open")
         n, low = pairs.count(), low + width
         more = joined(roots, written(compared(pairs, words), "links")) if n else None
         if more is not None:

@@ -59,3 +59,25 @@ def test_edges(spark):
     long = "\n".join(f"line {i} of a long text" for i in range(400))
     check(spark, [(1, long), (2, long), (3, "x\n" + long), (4, None), (5, ""), (6, "\n\n"), (6, "\n\n"), (7, "one two " * 40), (7, "one two " * 40)], 50)
     assert line_dedup.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_that_lose_nothing_do_not_cross_the_network(spark):
+    """One of 200 documents loses lines: the other texts are in no shuffle (disk of line_dedup)."""
+    rng = random.Random(4)
+    texts = ["\n".join(f"{rng.getrandbits(64):x} {rng.getrandbits(64):x}" for _ in range(100)) for _ in range(200)]
+    texts[199] = texts[0]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = line_dedup.dedup_lines(df)
+        got = {r.doc_id: r.text for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got == {i: "" if i == 199 else t for i, t in enumerate(texts)}
+    sent, todo = 0, [out._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Exchange":
+            sent += node.metrics().apply("shuffleBytesWritten").value()
+    assert sent * 10 < sum(map(len, texts))

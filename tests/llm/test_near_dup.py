@@ -181,6 +181,18 @@ def test_fine_tallies_leave_few_pairs_of_long_texts():
     assert similar and similar <= fine < coarse and len(fine) * 10 < len(coarse)
 
 
+def test_gaps_of_classes_tell_both_tallies_in_few_bytes():
+    """Members of crowds bring a byte a word to their buckets, not the word's code and a tally besides (disk of near_dedup)."""
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 20, 165, 1000, 4000, 9000):
+        for codes in (rng.integers(0, 1 << 32, n, np.uint32), np.full(n, 4095, np.uint32)):
+            made = nd.class_gaps(codes)
+            assert len(made) <= min(n + 17, nd.FINE + 1)
+            fine = np.frombuffer(nd.fine_tally(made), np.uint8)
+            assert fine.tobytes() == nd.tally(codes, nd.FINE)
+            assert nd.coarse_tallies(fine[None]).tobytes() == nd.tally(codes)
+
+
 def test_small_blocks_windows_and_finish_give_the_same_classes(spark, monkeypatch):
     """A bucket of many blocks, with a largest class of its own blocks, and links contracted by all tasks."""
     rng = random.Random(12)
